@@ -127,6 +127,7 @@ TOPIC_CONFIG = r'@TopicConfig\s*\(\s*name\s*=\s*"([^"]+)"'
 VALUE_KEY = r"""@Value\s*\(\s*["']?\$\{([^}]+)\}["']?\)"""
 CONST_SEND = r"(?U)(?:producer|template)\.(?:send|publish)\s*\(\s*(\w+)"
 CONST_SUBSCRIBE = r"consumer\.subscribe\s*\(([^)]*)"
+CONTEXT_CHARS = 200
 PRODUCER_WORDS = ("producer", "send", "publish", "@sendto")
 
 # Framework markers.

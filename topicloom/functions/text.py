@@ -16,14 +16,20 @@ def quoted(text: str) -> str:
 # --- match positions -------------------------------------------------------
 
 
+def unmarked(content: Column) -> Column:
+    """The text without the character that marks matches."""
+    mark = F.lit("\u0001")
+    return F.when(F.contains(content, mark), F.translate(content, "\u0001", " ")).otherwise(content)
+
+
 def positions_sql(content: str, regex: str) -> str:
     """SQL for array<struct<line,col>>: 1-based start of every match, in order.
 
     A mark is put before each match, then the marked text is cut into lines once;
-    the cost is linear in the text however many matches it has.
+    the cost is linear in the text however many matches it has. ``content`` must
+    be ``unmarked``.
     """
-    clean = f"translate({content}, '{MARK}', ' ')"
-    marked = f"regexp_replace({clean}, {quoted(regex)}, '{MARK}$0')"
+    marked = f"regexp_replace({content}, {quoted(regex)}, '{MARK}$0')"
     return f"""flatten(transform(split({marked}, '\\n'), (row, i) ->
         if(contains(row, '{MARK}'),
            flatten(transform(array(transform(split(row, '{MARK}', -1), s -> length(s))), sizes ->
@@ -54,13 +60,11 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"^.+(\.[^.]+)$", 1))
 
 
-def ancestors(path: Column) -> Column:
-    """All proper ancestor directories, nearest last."""
+def ancestors(path: Column, depths: Column) -> Column:
+    """Proper ancestor directories of a path at the given depths."""
     parts = path_parts(path)
-    depths = F.filter(
-        F.sequence(F.lit(0), F.size(parts) - 1), lambda d: d > 0
-    )
-    return F.transform(depths, lambda d: F.array_join(F.slice(parts, 1, d), "/"))
+    inner = F.filter(depths, lambda d: (d > 0) & (d < F.size(parts)))
+    return F.transform(inner, lambda d: F.array_join(F.slice(parts, 1, d), "/"))
 
 
 def relative_to(path: Column, root: Column) -> Column:

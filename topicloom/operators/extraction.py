@@ -54,8 +54,10 @@ def _placed(regex: str, group: int, locate: bool) -> str:
             f"transform({caps}, c -> named_struct('token', c, "
             "'line', cast(null as int), 'col', cast(null as int)))"
         )
-    return f"""zip_with({caps}, {positions_sql('content', regex)},
+    zipped = f"""zip_with(found, {positions_sql('content', regex)},
         (c, p) -> named_struct('token', c, 'line', p.line, 'col', p.col))"""
+    none = "cast(array() as array<struct<token: string, line: int, col: int>>)"
+    return f"flatten(transform(array({caps}), found -> if(size(found) > 0, {zipped}, {none})))"
 
 
 def _items(token: str) -> str:
@@ -147,23 +149,28 @@ def _pattern_facts(p: cat.Pattern, locate: bool) -> str:
 
 
 def _config_facts(locate: bool) -> str:
-    """``@Value`` keys; the 200 characters around decide the role."""
-    near = (
-        r"(?s)(?<=(\A.{0,199}|.{200}))" + cat.VALUE_KEY + r"(?=(.{0,200}))"
-    )
-    whole = _captures(near, 0)
-    keys, before, after = (_captures(near, g) for g in (2, 1, 3))
+    """``@Value`` keys; the 200 characters around decide the role.
+
+    The text is cut before every key, so each piece after the first starts with
+    one and is at least a character long: 200 pieces always hold the context.
+    """
+    keys, whole = _captures(cat.VALUE_KEY, 1), _captures(cat.VALUE_KEY, 0)
     places = (
         positions_sql("content", cat.VALUE_KEY)
         if locate
         else f"transform({whole}, c -> cast(null as {PLACE}))"
     )
-    context = "lower(concat(z.`1`, z.`2`, z.`3`))"
-    words = " or ".join(f"contains({context}, {quoted(w)})" for w in cat.PRODUCER_WORDS)
-    role = f"if({words}, 'producer', 'consumer')"
-    each = _fact("java", "config_key", role, "z.`0`", "concat('${', z.`0`, '}')", "z.`4`")
-    facts = f"""transform(filter(arrays_zip({keys}, {before}, {whole}, {after}, {places}),
-        z -> contains(lower(z.`0`), 'kafka') and contains(lower(z.`0`), 'topic')), z -> {each})"""
+    near = cat.CONTEXT_CHARS
+    marked = f"regexp_replace(content, {quoted(cat.VALUE_KEY)}, '{text.MARK}$0')"
+    cut = f"split({marked}, '{text.MARK}', -1)"
+    before = f"right(array_join(slice(pieces, greatest(1, i + 2 - {near}), least(i + 1, {near})), ''), {near})"
+    after = f"left(array_join(slice(pieces, i + 2, {near} + 1), ''), length(z.`1`) + {near})"
+    words = " or ".join(f"contains(near, {quoted(w)})" for w in cat.PRODUCER_WORDS)
+    role = f"transform(array(lower(concat({before}, {after}))), near -> if({words}, 'producer', 'consumer'))[0]"
+    each = _fact("java", "config_key", role, "z.`0`", "concat('${', z.`0`, '}')", "z.`2`")
+    facts = f"""filter(flatten(transform(array({cut}), pieces ->
+        transform(arrays_zip({keys}, {whole}, {places}), (z, i) -> {each}))),
+        f -> contains(lower(f.token), 'kafka') and contains(lower(f.token), 'topic'))"""
     guarded = _guarded("content", ["@Value"], facts, f"array<{FACT}>")
     return f"if(java_file, {guarded}, cast(array() as array<{FACT}>))"
 
@@ -211,11 +218,12 @@ def _declared_vars() -> str:
     return f"concat({', '.join(parts)})"
 
 
-def _prepared(files: DataFrame) -> DataFrame:
+def prepared(files: DataFrame) -> DataFrame:
+    """Texts with what the fact expressions need besides: flags and declared names."""
     java_file = file_ops.is_java(F.col("path"))
     return files.select(
-        "path",
-        "content",
+        *[c for c in files.columns if c != "content"],
+        text.unmarked(F.col("content")).alias("content"),
         java_file.alias("java_file"),
         (java_file & file_ops.is_ignored(F.col("content"))).alias("spring_ignored"),
         F.when(java_file, F.expr(_pairs(cat.JAVA_CONSTANT, ["private"])))
@@ -225,6 +233,13 @@ def _prepared(files: DataFrame) -> DataFrame:
     )
 
 
+def _all_facts(patterns: Iterable[cat.Pattern], locate: bool, derived: bool) -> str:
+    facts = [_pattern_facts(p, locate) for p in patterns]
+    if derived:
+        facts += [_config_facts(locate), *_constant_facts(locate)]
+    return f"filter(concat({', '.join(facts)}), f -> f.topic != '')"
+
+
 def topic_facts(
     files: DataFrame,
     patterns: Iterable[cat.Pattern] = cat.CATALOGUE,
@@ -239,12 +254,24 @@ def topic_facts(
     leaves line and column null and saves their work where only roles matter.
     ``keep_files`` gives a file without any match one row of nulls.
     """
-    facts = [_pattern_facts(p, locate) for p in patterns]
-    if derived:
-        facts += [_config_facts(locate), *_constant_facts(locate)]
-    every = f"filter(concat({', '.join(facts)}), f -> f.topic != '')"
+    every = _all_facts(patterns, locate, derived)
     generator = "inline_outer" if keep_files else "inline"
-    return _prepared(files).select("path", F.expr(f"{generator}({every})"))
+    return prepared(files).select("path", F.expr(f"{generator}({every})"))
+
+
+def role_facts(
+    files: DataFrame, patterns: Iterable[cat.Pattern] = cat.CATALOGUE, locate: bool = True
+) -> DataFrame:
+    """(path, role, topic, line, col): the facts that carry a role, merged over
+    patterns and analysers within the row of their text, before any shuffle."""
+    return prepared(files).select("path", F.expr(f"inline({role_array(patterns, locate)})"))
+
+
+def role_array(patterns: Iterable[cat.Pattern], locate: bool = True) -> str:
+    """SQL for array<struct<role,topic,line,col>>, over ``prepared`` texts."""
+    every = _all_facts(patterns, locate, True)
+    return f"""array_distinct(transform(filter({every}, f -> f.role is not null),
+        f -> named_struct('role', f.role, 'topic', f.topic, 'line', f.line, 'col', f.col)))"""
 
 
 def match_patterns(
@@ -257,7 +284,8 @@ def match_patterns(
 def locate_matches(files: DataFrame, regex: str, group: int = 0) -> DataFrame:
     """(path, match, line, col) of every match of one regex."""
     found = F.expr(_placed(regex, group, True))
-    return files.select("path", F.inline(found)).withColumnRenamed("token", "match")
+    texts = files.select("path", text.unmarked(F.col("content")).alias("content"))
+    return texts.select("path", F.inline(found)).withColumnRenamed("token", "match")
 
 
 def extract_constants(files: DataFrame) -> DataFrame:
@@ -303,22 +331,22 @@ def config_pairs(files: DataFrame, regex: str, needle: str) -> DataFrame:
     )
 
 
+def directories(paths: DataFrame) -> DataFrame:
+    return paths.select(text.parent_dir(F.col("path")).alias("dir")).distinct()
+
+
 def spring_dirs(files: DataFrame) -> DataFrame:
     """Directories that hold a Spring source file."""
-    return (
-        files.where(file_ops.is_spring(F.col("path"), F.col("content")))
-        .select(text.parent_dir(F.col("path")).alias("dir"))
-        .distinct()
-    )
+    return directories(files.where(file_ops.is_spring(F.col("path"), F.col("content"))))
 
 
-def stream_bindings(files: DataFrame) -> DataFrame:
+def stream_bindings(files: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
     """(path, binding, topic, role) of bindings configured next to a Spring
     source. The binding's name tells the role: input or output."""
     found = config_pairs(files, cat.STREAM_BINDING, "spring.cloud.stream.bindings.")
     name = F.lower("binding")
     return (
-        found.join(spring_dirs(files), "dir", "left_semi")
+        found.join(spring_dirs(files) if dirs is None else dirs, "dir", "left_semi")
         .select(
             "path",
             F.col("name").alias("binding"),

@@ -113,9 +113,8 @@ def generated_classes(files: DataFrame) -> DataFrame:
     )
 
 
-def registry_refs(files: DataFrame) -> DataFrame:
-    """C4: (path, url, subject, version) of schema registry references."""
-    content = F.col("content")
+def registry_urls(path: Column, content: Column) -> Column:
+    """Distinct registry URLs a source text refers to, by subject or literally."""
     none = F.array().cast("array<string>")
     subjects = F.filter(
         F.regexp_extract_all(content, F.lit(cat.REGISTRY_CALL), 1),
@@ -125,19 +124,24 @@ def registry_refs(files: DataFrame) -> DataFrame:
         subjects,
         lambda s: F.concat(F.lit(cat.REGISTRY_BASE + "/subjects/"), s, F.lit("/versions/latest")),
     )
+    literal = F.regexp_extract_all(content, F.lit(cat.REGISTRY_URL), 0)
     urls = F.concat(
-        F.when(
-            F.contains(content, F.lit("/subjects/")),
-            F.regexp_extract_all(content, F.lit(cat.REGISTRY_URL), 0),
-        ).otherwise(none),
+        F.when(F.contains(content, F.lit("/subjects/")), literal).otherwise(none),
         F.when(F.contains(content, F.lit("schemaRegistry.")), by_call).otherwise(none),
     )
+    return F.when(text.suffix(path).isin(*cat.REGISTRY_SUFFIXES), F.array_distinct(urls)).otherwise(none)
+
+
+def registry_refs(files: DataFrame) -> DataFrame:
+    """C4: (path, url, subject, version) of schema registry references."""
+    urls = registry_urls(F.col("path"), F.col("content"))
+    return split_refs(files.select("path", F.explode(urls).alias("url")))
+
+
+def split_refs(refs: DataFrame) -> DataFrame:
     tail = r"/subjects/([^/]+)/versions/(\w+)$"
-    return (
-        files.where(text.suffix(F.col("path")).isin(*cat.REGISTRY_SUFFIXES))
-        .select("path", F.explode(F.array_distinct(urls)).alias("url"))
-        .withColumn("subject", F.regexp_extract("url", tail, 1))
-        .withColumn("version", F.regexp_extract("url", tail, 2))
+    return refs.withColumn("subject", F.regexp_extract("url", tail, 1)).withColumn(
+        "version", F.regexp_extract("url", tail, 2)
     )
 
 

@@ -146,12 +146,16 @@ def assign_files(rows: DataFrame, services: DataFrame) -> DataFrame:
     """Rows with a ``path`` gain service, root_path and language.
 
     Each row meets the services by equality with one of its path's ancestor
-    directories; nested roots both match. Assign narrow fact rows, not texts:
-    every row is repeated once per ancestor before the join.
+    directories; nested roots both match. Only ancestors as deep as some service
+    root are tried, so a row is repeated once per such depth. Assign narrow fact
+    rows, not texts.
     """
     roots = services.where(~F.col("is_stub")).select("root_path", "service", "language")
-    spread = rows.withColumn("root_path", F.explode(text.ancestors(F.col("path"))))
-    return salted_join(spread, roots, ["root_path"])
+    depth = F.size(text.path_parts(F.col("root_path")))
+    depths = roots.agg(F.collect_set(depth)).scalar()
+    tried = text.ancestors(F.col("path"), F.col("_depths"))
+    spread = rows.withColumn("_depths", depths).withColumn("root_path", F.explode(tried))
+    return salted_join(spread.drop("_depths"), roots, ["root_path"])
 
 
 def source_files(files: DataFrame, services: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ def merge_topics(*parts: DataFrame) -> DataFrame:
 
 
 def topic_members(roles: DataFrame) -> DataFrame:
+    """Distinct (service, topic, role); takes any owned facts, merged or not."""
     return roles.select("service", "topic", "role").distinct()
 
 

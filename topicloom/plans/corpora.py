@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a table stored in fewer pieces than cores.
+
+    Texts are far larger than the keys they are rendered from, so the narrow rows
+    are moved before rendering. A table with enough pieces is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming or len(rows.inputFiles()) >= cores:
+        return rows
+    return rows.repartition(cores, *keys)
+
+
 def fill(template: str, **values: Column | str) -> Column:
     """``template`` with each <name> replaced by a column."""
     parts: list[Column] = []
@@ -47,6 +59,13 @@ def pick(column: str, cases: dict[str, Column], default: Column) -> Column:
     return out
 
 
+def rendered(rows: DataFrame, path: Column, content: Column) -> DataFrame:
+    """(path, content), one text per row. The generator makes the text a value that
+    is worked out once; a plain projection would be copied into every later
+    predicate and pattern."""
+    return rows.select(F.inline(F.array(F.struct(path.alias("path"), content.alias("content")))))
+
+
 # --- topic uses ------------------------------------------------------------
 
 
@@ -75,14 +94,15 @@ def line_files(lineitem: DataFrame) -> DataFrame:
         F.col("l_quantity") >= URGENT_QUANTITY,
         fill('    @SendTo("urgent-<o>")\n    Event urgent(Event e) { return e; }\n', o="l_orderkey"),
     ).otherwise("")
-    return lineitem.select(
+    return rendered(
+        spread(lineitem, "l_orderkey", "l_partkey"),
         fill(
             f"svc-<s>/{JAVA_DIR}/Line<o>x<n>x<p>.java",
             s="l_suppkey", o="l_orderkey", n="l_linenumber", p="l_partkey",
-        ).alias("path"),
+        ),
         F.concat(
             F.lit("package shop;\n\npublic class Line {\n"), send, urgent, F.lit("}\n")
-        ).alias("content"),
+        ),
     )
 
 
@@ -109,11 +129,12 @@ def order_files(orders: DataFrame) -> DataFrame:
         ),
     )
     urgent = fill('    @StreamListener("urgent-<o>")\n    void hurry(Event e) {}\n', o="o_orderkey")
-    return orders.select(
-        fill(f"svc-<c>/{JAVA_DIR}/Order<o>.java", c="o_custkey", o="o_orderkey").alias("path"),
+    return rendered(
+        spread(orders, "o_orderkey"),
+        fill(f"svc-<c>/{JAVA_DIR}/Order<o>.java", c="o_custkey", o="o_orderkey"),
         F.concat(
             F.lit("package shop;\n\npublic class Order {\n"), listen, urgent, F.lit("}\n")
-        ).alias("content"),
+        ),
     )
 
 
@@ -208,9 +229,10 @@ API = (
 
 def api_files(supplier: DataFrame) -> DataFrame:
     values = {"k": "s_suppkey", "n": "s_nationkey"}
-    return supplier.select(
-        fill(f"svc-<k>/{JAVA_DIR}/Api.java", **values).alias("path"),
-        fill(API, **values).alias("content"),
+    return rendered(
+        supplier,
+        fill(f"svc-<k>/{JAVA_DIR}/Api.java", **values),
+        fill(API, **values),
     )
 
 
@@ -237,8 +259,9 @@ def party_avsc(lineitem: DataFrame) -> DataFrame:
         '{"type": "record", "name": "Part<p>", "namespace": "shop.s<s>",'
         ' "fields": [{"name": "key", "type": "long"}, {"name": "note", "type": ["null", "string"]}]}'
     )
-    return pairs.select(
-        fill("svc-<s>/avro/Part<p>.avsc", **values).alias("path"), fill(text, **values).alias("content")
+    return rendered(
+        pairs,
+        fill("svc-<s>/avro/Part<p>.avsc", **values), fill(text, **values)
     )
 
 
@@ -261,8 +284,9 @@ def part_avsc(part: DataFrame) -> DataFrame:
         .when(F.col("p_size") <= 10, fill("{ broken <p>", **values))
         .otherwise(fill(record, **values))
     )
-    return part.select(
-        fill("schemas/<b>/Part<p>.avsc", **values).alias("path"), content.alias("content")
+    return rendered(
+        part,
+        fill("schemas/<b>/Part<p>.avsc", **values), content
     )
 
 
@@ -279,9 +303,10 @@ CLASS = (
 
 def class_files(part: DataFrame) -> DataFrame:
     values = {"p": "p_partkey", "b": "p_brand"}
-    return part.select(
-        fill("svc-<p>/src/Part<p>.java", **values).alias("path"),
-        fill(CLASS, **values).alias("content"),
+    return rendered(
+        part,
+        fill("svc-<p>/src/Part<p>.java", **values),
+        fill(CLASS, **values),
     )
 
 
@@ -294,8 +319,9 @@ def reference_files(part: DataFrame) -> DataFrame:
         '  Object c = schemaRegistry.getSchema("http://r/part-<p>");\n'
         '  String u = "http://registry:8081/subjects/part-<p>/versions/<v>";\n}\n'
     )
-    return part.select(
-        fill("svc-<p>/src/Refs.java", **values).alias("path"), fill(text, **values).alias("content")
+    return rendered(
+        part,
+        fill("svc-<p>/src/Refs.java", **values), fill(text, **values)
     )
 
 

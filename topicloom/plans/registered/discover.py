@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import text
 from topicloom.operators import relations as r
 from topicloom.operators import services as s
+from topicloom.operators.extraction import spring_dirs
 from topicloom.plans import corpora
 from topicloom.plans.corpora import fill, table
 from topicloom.plans.registered import shared
@@ -202,16 +203,17 @@ NPM = """SELECT 'svc-' || c_custkey AS source, t AS target, 'npm-dependency' AS
          LATERAL (SELECT unnest(['shop-nation-' || c_nationkey || '-client', 'mock-api']) AS t,
                          unnest(['2.' || c_nationkey || '.0', CAST(c_custkey AS VARCHAR)]) AS v)
        WHERE c_mktsegment = 'FURNITURE'"""
-PYTHON = """SELECT 'svc-' || c_custkey AS source, 'nation-' || c_nationkey || '-api' AS target,
-              'python-dependency' AS type, CAST(NULL AS VARCHAR) AS detail
-       FROM customer WHERE c_mktsegment = 'HOUSEHOLD'"""
+PYTHON = """SELECT 'svc-' || c_custkey AS source, t AS target, 'python-dependency' AS type, CAST(NULL AS VARCHAR) AS detail
+       FROM customer, LATERAL (SELECT unnest(['nation-' || c_nationkey || '-api', 'region-client']) AS t)
+       WHERE c_mktsegment = 'HOUSEHOLD'"""
 BUILDS = f"builds AS ({CLOUD} UNION ALL {NPM} UNION ALL {PYTHON})"
 
 
 @query("r1_rel_injection", INJECTION)
 def rel_injection(spark, sf):
     files = corpora.api_files(table(spark, sf, "supplier"))
-    return _flat(r.injections(files, shared.found_services(spark, sf)), "injection_type")
+    found = r.injections(r.injection_facts(files), shared.found_services(spark, sf))
+    return _flat(found, "injection_type")
 
 
 def _build_corpus(spark, sf):
@@ -221,8 +223,9 @@ def _build_corpus(spark, sf):
 
 @query("r2_rel_rest_client", REST)
 def rel_rest_client(spark, sf):
-    files = corpora.order_files(table(spark, sf, "orders")).union(_build_corpus(spark, sf))
-    return _flat(r.rest_clients(files, shared.found_services(spark, sf)), "url")
+    configs = corpora.config_files(table(spark, sf, "customer"))
+    dirs = spring_dirs(corpora.order_files(table(spark, sf, "orders")))
+    return _flat(r.rest_clients(configs, dirs, shared.found_services(spark, sf)), "url")
 
 
 @query("r3_rel_spring_cloud", CLOUD)

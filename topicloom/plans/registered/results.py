@@ -218,7 +218,7 @@ def write_analysis(spark, sf):
 
 
 NODES = f"""{SERVICES}, {MEMBERS},
-named AS (SELECT service AS name, 'service' AS type, language, CAST(NULL AS BIGINT) AS n_producers, CAST(NULL AS BIGINT) AS n_consumers
+named AS (SELECT service AS name, 'service' AS type, language, CAST(0 AS BIGINT) AS n_producers, CAST(0 AS BIGINT) AS n_consumers
           FROM services
           UNION ALL SELECT topic, 'topic', NULL, count(*) FILTER (role = 'producer'), count(*) FILTER (role = 'consumer')
           FROM members GROUP BY topic),
@@ -383,7 +383,7 @@ def schema_neighbourhood(spark, sf):
     f"""WITH {SERVICES}, {MEMBERS}, t AS (
           SELECT service, topic, CASE WHEN bool_or(role = 'producer') THEN service ELSE 'None' END AS producers,
                  CASE WHEN bool_or(role = 'consumer') THEN service ELSE 'None' END AS consumers
-          FROM members GROUP BY ALL)
+          FROM members GROUP BY service, topic)
         SELECT service, language, topic, producers, consumers FROM services LEFT JOIN t USING (service)""",
 )
 def architecture_rows(spark, sf):
@@ -422,6 +422,7 @@ def analysis_members(spark, sf):
     f"""WITH {SERVICES} SELECT service, language, false AS is_stub FROM services
         UNION ALL SELECT 'nation-' || c_nationkey, 'unknown', true FROM customer WHERE c_mktsegment = 'AUTOMOBILE' GROUP BY c_nationkey
         UNION ALL SELECT 'nation-' || c_nationkey || '-api', 'unknown', true FROM customer WHERE c_mktsegment = 'HOUSEHOLD' GROUP BY c_nationkey
+        UNION ALL SELECT 'region-client', 'unknown', true WHERE EXISTS (FROM customer WHERE c_mktsegment = 'HOUSEHOLD')
         UNION ALL SELECT 'shop-nation-' || c_nationkey || '-client', 'unknown', true FROM customer WHERE c_mktsegment = 'FURNITURE' GROUP BY c_nationkey
         UNION ALL SELECT 'mock-api', 'unknown', true WHERE EXISTS (FROM customer WHERE c_mktsegment = 'FURNITURE')""",
 )

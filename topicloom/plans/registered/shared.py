@@ -16,13 +16,14 @@ def found_services(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def roles(spark: SparkSession, sf: str, locate: bool = True) -> DataFrame:
-    facts = extraction.topic_facts(corpora.trade_files(spark, sf), locate=locate)
+def roles(spark: SparkSession, sf: str) -> DataFrame:
+    facts = extraction.role_facts(corpora.trade_files(spark, sf))
     return topics.topic_roles(facts, found_services(spark, sf))
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.topic_members(roles(spark, sf, locate=False))
+    facts = extraction.role_facts(corpora.trade_files(spark, sf), locate=False)
+    return topics.topic_members(services.assign_files(facts, found_services(spark, sf)))
 
 
 def topic_edges(spark: SparkSession, sf: str) -> DataFrame:
