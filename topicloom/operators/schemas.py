@@ -86,6 +86,7 @@ def generated_classes(files: DataFrame) -> DataFrame:
     declaration = (
         r"(?s)^\s*(?:@[\w.]+(?:\([^)]*\))?\s+)*"
         r"(?:(?:public|protected|private|static|final|transient|volatile)\s+)*"
+        r"(?!(?:abstract|class|interface|enum|record)\b)"
         r"([\w.$]+(?:\s*<[^=()]*>)?(?:\s*\[\s*\])*)\s+([\w$][^=()]*)(?:=.*)?$"
     )
     fields = F.flatten(

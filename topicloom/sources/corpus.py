@@ -33,14 +33,11 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """
     base = root.rstrip("/")
     listed = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name_glob())
-        .option("ignoreMissingFiles", True)
+        spark.read.option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", True)
-        .text(base)
+        .text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name_glob())
     )
-    plain = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    plain = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
     top = base if "://" in base else "/" + base.removeprefix("file:").lstrip("/")
     files = listed.select(
         F.substring(plain, len(top) + 2, 1 << 30).alias("path"),
