@@ -41,13 +41,20 @@ def _bound(raw: Column) -> Column:
 
 
 def _leaf(raw: Column) -> Column:
-    members = F.filter(F.from_json(raw, "array<string>"), lambda t: t != "null")
-    union = F.when(F.size(members) == 1, F.get(members, 0)).otherwise(
-        F.concat(F.lit("union("), F.array_join(members, ","), F.lit(")"))
-    )
+    def union(types: Column) -> Column:
+        joined = F.concat(F.lit("union("), F.array_join(types, ","), F.lit(")"))
+        return F.when(F.size(types) == 1, F.get(types, 0)).otherwise(joined)
+
+    def members() -> Column:
+        return F.filter(F.from_json(raw, "array<string>"), lambda t: t != "null")
+
     name = F.coalesce(F.get_json_object(raw, "$.name"), F.lit("record"))
     record = F.startswith(raw, F.lit("{")) & (F.get_json_object(raw, "$.type") == "record")
-    return F.when(F.startswith(raw, F.lit("[")), union).when(record, name).otherwise(raw)
+    return (
+        F.when(F.startswith(raw, F.lit("[")), F.get(F.transform(F.array(members()), union), 0))
+        .when(record, name)
+        .otherwise(raw)
+    )
 
 
 def normalize_java_type(raw: Column) -> Column:

@@ -23,12 +23,18 @@ AVSC, CLASS, REGISTRY = 1, 2, 3
 
 
 def _last_per_name(fields: Column) -> Column:
-    """A name declared twice keeps its last type."""
-    names = F.transform(fields, lambda f: f["name"])
-    return F.filter(
-        fields,
-        lambda f, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), f["name"]),
-    )
+    """A name declared twice keeps its last type. The list is bound to a variable
+    first: an expression inside a lambda would be worked out again per element."""
+
+    def without_later(all_fields: Column) -> Column:
+        return F.filter(
+            all_fields,
+            lambda f, i: ~F.exists(
+                F.slice(all_fields, i + 2, F.size(all_fields)), lambda g: g["name"] == f["name"]
+            ),
+        )
+
+    return F.get(F.transform(F.array(fields), without_later), 0)
 
 
 def parse_records(docs: DataFrame, content: str, keep: list[str]) -> DataFrame:
@@ -86,7 +92,7 @@ def generated_classes(files: DataFrame) -> DataFrame:
     declaration = (
         r"(?s)^\s*(?:@[\w.]+(?:\([^)]*\))?\s+)*"
         r"(?:(?:public|protected|private|static|final|transient|volatile)\s+)*"
-        r"(?!(?:abstract|class|interface|enum|record)\b)"
+        r"(?!(?:abstract|class|interface|enum|record|public|protected|private|static|final)\b)"
         r"([\w.$]+(?:\s*<[^=()]*>)?(?:\s*\[\s*\])*)\s+([\w$][^=()]*)(?:=.*)?$"
     )
     fields = F.flatten(

@@ -155,7 +155,7 @@ def assign_files(rows: DataFrame, services: DataFrame) -> DataFrame:
     depths = roots.agg(F.collect_set(depth)).scalar()
     tried = text.ancestors(F.col("path"), F.col("_depths"))
     spread = rows.withColumn("_depths", depths).withColumn("root_path", F.explode(tried))
-    return salted_join(spread.drop("_depths"), roots, ["root_path"])
+    return salted_join(spread.drop("_depths"), roots, ["root_path"], spread=["path"])
 
 
 def source_files(files: DataFrame, services: DataFrame) -> DataFrame:

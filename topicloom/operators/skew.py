@@ -17,15 +17,17 @@ def salted_join(
     on: Sequence[str],
     how: str = "inner",
     salts: int = SALTS,
+    spread: Sequence[str] = (),
 ) -> DataFrame:
     """Equi-join many ``rows`` to a narrow ``lookup`` side.
 
     Each row takes one of ``salts`` sub-keys and the lookup side is repeated
     once per sub-key, so a hot key is spread over ``salts`` tasks. Right for
     inner, left, semi and anti joins: a row meets every lookup row exactly once.
-    AQE still turns the join into a broadcast when the lookup side is small.
+    Spark still makes it a broadcast join when it finds the lookup side small.
+    ``spread`` names the columns that tell rows of a key apart (default: all).
     """
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", salt)
     right = lookup.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

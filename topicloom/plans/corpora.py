@@ -29,7 +29,7 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     are moved before rendering. A table with enough pieces is left as it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.isStreaming or len(rows.inputFiles()) >= cores:
+    if not rows.isStreaming and len(rows.inputFiles()) >= cores:
         return rows
     return rows.repartition(cores, *keys)
 
@@ -285,7 +285,7 @@ def part_avsc(part: DataFrame) -> DataFrame:
         .otherwise(fill(record, **values))
     )
     return rendered(
-        part,
+        spread(part, "p_partkey"),
         fill("schemas/<b>/Part<p>.avsc", **values), content
     )
 
@@ -304,7 +304,7 @@ CLASS = (
 def class_files(part: DataFrame) -> DataFrame:
     values = {"p": "p_partkey", "b": "p_brand"}
     return rendered(
-        part,
+        spread(part, "p_partkey"),
         fill("svc-<p>/src/Part<p>.java", **values),
         fill(CLASS, **values),
     )
@@ -320,7 +320,7 @@ def reference_files(part: DataFrame) -> DataFrame:
         '  String u = "http://registry:8081/subjects/part-<p>/versions/<v>";\n}\n'
     )
     return rendered(
-        part,
+        spread(part, "p_partkey"),
         fill("svc-<p>/src/Refs.java", **values), fill(text, **values)
     )
 

@@ -267,9 +267,9 @@ def relationships_of(spark, sf):
     return r.relationships_of(_builds(spark, sf), "nation-3").select("source", "target", "type")
 
 
-@query("r8_service_dependencies", f"WITH {BUILDS} SELECT DISTINCT target FROM builds WHERE source = 'svc-1'")
+@query("r8_service_dependencies", f"WITH {BUILDS} SELECT DISTINCT target FROM builds WHERE source = 'svc-0'")
 def service_dependencies(spark, sf):
-    return r.service_dependencies(_builds(spark, sf), "svc-1")
+    return r.service_dependencies(_builds(spark, sf), "svc-0")
 
 
 @query("r8_service_dependents", f"WITH {BUILDS} SELECT DISTINCT source FROM builds WHERE target = 'mock-api'")

@@ -14,7 +14,7 @@ from topicloom.plans.registered import shared
 from topicloom.plans.registered.base import (
     EDGES, HITS, MEMBERS, ROLES, SERVICES, USES, member_rows, query,
 )
-from topicloom.session import scratch_path
+from topicloom.session import materialize, scratch_path
 from topicloom.sources import documents
 from topicloom.streaming import incremental
 
@@ -53,7 +53,7 @@ def global_topics(spark, sf):
         FROM members GROUP BY topic""",
 )
 def global_topic_lists(spark, sf):
-    lists = topics.global_topic_lists(shared.members(spark, sf), limit=1_000_000)
+    lists = topics.global_topic_lists(shared.stored_members(spark, sf), limit=1_000_000)
     return lists.select(
         "topic", "part",
         F.array_join("producers", ",").alias("producers"),
@@ -100,7 +100,7 @@ def schema_usage(spark, sf):
         FROM uses GROUP BY schema""",
 )
 def schema_service_lists(spark, sf):
-    lists = topics.schema_service_lists(shared.party_schemas(spark, sf))
+    lists = topics.schema_service_lists(shared.stored_schemas(spark, sf))
     return lists.withColumn("services", F.array_join("services", ","))
 
 
@@ -205,11 +205,11 @@ def group_by_service_topic(spark, sf):
         FROM services s JOIN members m ON s.service = m.service GROUP BY s.service, s.language, topic""",
 )
 def write_analysis(spark, sf):
-    services = shared.found_services(spark, sf)
+    services = materialize(shared.found_services(spark, sf), "services")
     docs = documents.analysis_documents(
-        services, shared.roles(spark, sf), shared.party_schemas(spark, sf), limit=1_000_000
+        services, shared.stored_roles(spark, sf), shared.stored_schemas(spark, sf), limit=1_000_000
     )
-    got = documents.parse_analysis(docs, "document")
+    got = documents.parse_analysis(materialize(docs, "documents"), "document")
     return got.topics.join(got.services.select("service", "language"), "service").select(
         "service", "language", "topic",
         F.array_join("producers", ",").alias("producers"),
@@ -231,8 +231,8 @@ links AS (SELECT CASE WHEN role = 'producer' THEN s.id ELSE t.id END AS source,
           JOIN nodes t ON t.type = 'topic' AND t.name = m.topic)"""
 
 
-def _nodes(spark, sf):
-    return views.viz_nodes(shared.found_services(spark, sf), shared.members(spark, sf))
+def _nodes(spark, sf, members):
+    return views.viz_nodes(shared.found_services(spark, sf), members)
 
 
 @query(
@@ -242,20 +242,22 @@ def _nodes(spark, sf):
                (SELECT count(DISTINCT schema) FROM uses) AS schemas_count""",
 )
 def write_graph(spark, sf):
-    nodes = _nodes(spark, sf)
-    links = views.viz_links(nodes, shared.members(spark, sf))
+    members = shared.stored_members(spark, sf)
+    nodes = _nodes(spark, sf, members)
+    links = views.viz_links(nodes, members)
     schemas = topics.schema_usage(shared.party_schemas(spark, sf))
     return documents.write_graph(nodes, links, schemas, scratch_path(spark, "graph")).drop("generated_at")
 
 
 @query("p10_viz_nodes", f"WITH {NODES} SELECT * FROM nodes")
 def viz_nodes(spark, sf):
-    return _nodes(spark, sf)
+    return _nodes(spark, sf, shared.members(spark, sf))
 
 
 @query("p11_viz_links", f"WITH {LINKS} SELECT * FROM links")
 def viz_links(spark, sf):
-    return views.viz_links(_nodes(spark, sf), shared.members(spark, sf))
+    members = shared.stored_members(spark, sf)
+    return views.viz_links(_nodes(spark, sf, members), members)
 
 
 CLEAN_MEMBERS = """clean AS (SELECT replace(service, '-', '_') AS service, 'topic_' || replace(topic, '-', '_') AS topic, role FROM members)"""
@@ -374,7 +376,7 @@ def topic_details(spark, sf):
 )
 def schema_neighbourhood(spark, sf):
     return views.schema_neighbourhood(
-        shared.party_schemas(spark, sf), shared.members(spark, sf), "Part7"
+        shared.party_schemas(spark, sf), shared.stored_members(spark, sf), "Part7"
     )
 
 

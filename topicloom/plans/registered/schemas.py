@@ -120,4 +120,4 @@ def schema_diff(spark, sf):
         (SELECT schema FROM uses WHERE contains(schema, '11') OR contains(namespace, '11') OR contains(service, '11'))""",
 )
 def search_schemas(spark, sf):
-    return c.search_schemas(shared.party_schemas(spark, sf), "11")
+    return c.search_schemas(shared.stored_schemas(spark, sf), "11")

@@ -1,4 +1,8 @@
-"""Tables several registered queries start from, each a lazy plan."""
+"""Tables several registered queries start from.
+
+Lazy plans, but for the ``stored_`` ones: a query that uses the facts more than once
+writes them to the shared folder first, so that no text is read twice.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 from topicloom.operators import extraction, graph, schemas, services, topics
 from topicloom.plans import corpora
 from topicloom.plans.corpora import table
+from topicloom.session import materialize
 
 
 def found_services(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,13 +31,26 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
     return topics.topic_members(services.assign_files(facts, found_services(spark, sf)))
 
 
+def stored_roles(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(roles(spark, sf), "roles")
+
+
+def stored_members(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(members(spark, sf), "members")
+
+
 def topic_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.topic_edges(members(spark, sf))
+    return graph.topic_edges(stored_members(spark, sf))
 
 
 def urgent_edges(spark: SparkSession, sf: str) -> DataFrame:
     urgent = topics.filter_topics(members(spark, sf), include=["^urgent-"])
-    return graph.topic_edges(urgent).select("source", "target").distinct()
+    edges = graph.topic_edges(materialize(urgent, "members"))
+    return materialize(edges.select("source", "target").distinct(), "edges")
+
+
+def stored_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(party_schemas(spark, sf), "schemas")
 
 
 def party_schemas(spark: SparkSession, sf: str) -> DataFrame:
