@@ -226,7 +226,7 @@ def prepared(files: DataFrame) -> DataFrame:
         text.unmarked(F.col("content")).alias("content"),
         java_file.alias("java_file"),
         (java_file & file_ops.is_ignored(F.col("content"))).alias("spring_ignored"),
-        F.when(java_file, F.expr(_pairs(cat.JAVA_CONSTANT, ["private"])))
+        F.when(java_file, F.expr(_pairs(cat.JAVA_CONSTANT, ["String"])))
         .otherwise(F.expr(f"cast(array() as {VARS})"))
         .alias("java_vars"),
         F.expr(_declared_vars()).alias("generic_vars"),
@@ -234,7 +234,7 @@ def prepared(files: DataFrame) -> DataFrame:
 
 
 def _all_facts(patterns: Iterable[cat.Pattern], locate: bool, derived: bool) -> str:
-    facts = [_pattern_facts(p, locate) for p in patterns]
+    facts = [f"cast(array() as array<{FACT}>)", *(_pattern_facts(p, locate) for p in patterns)]
     if derived:
         facts += [_config_facts(locate), *_constant_facts(locate)]
     return f"filter(concat({', '.join(facts)}), f -> f.topic != '')"
@@ -290,7 +290,7 @@ def locate_matches(files: DataFrame, regex: str, group: int = 0) -> DataFrame:
 
 def extract_constants(files: DataFrame) -> DataFrame:
     """(path, name, value); the last declaration in a file wins."""
-    pairs = _pairs(cat.JAVA_CONSTANT, ["private"])
+    pairs = _pairs(cat.JAVA_CONSTANT, ["String"])
     numbered = f"""transform({pairs},
         (v, i) -> named_struct('name', v.name, 'value', v.value, 'pos', i))"""
     return (

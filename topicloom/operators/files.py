@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +56,13 @@ def filter_messaging_test_paths(files: DataFrame) -> DataFrame:
     return files.where(~tests | F.contains(path, F.lit("tests/test_data")))
 
 
-def any_of(content: Column, regexes) -> Column:
-    """One alternation, so the text is read once however many regexes there are."""
-    return F.rlike(content, F.lit("|".join(f"(?:{r})" for r in regexes)))
+def any_in(content: Column, literals) -> Column:
+    """Whether any of the literals occurs; substring tests, no regex."""
+    return reduce(Column.__or__, [F.contains(content, F.lit(t)) for t in literals])
 
 
 def is_ignored(content: Column) -> Column:
-    return any_of(content, cat.SPRING_IGNORE)
+    return any_in(content, cat.SPRING_IGNORE)
 
 
 def ignore_by_content(files: DataFrame) -> DataFrame:
@@ -68,21 +70,27 @@ def ignore_by_content(files: DataFrame) -> DataFrame:
 
 
 def is_rest(content: Column) -> Column:
-    return any_of(content, (*cat.REST_MARKERS, cat.REST_MAPPING))
+    mapped = F.contains(content, F.lit("Mapping")) & F.rlike(content, F.lit(cat.REST_MAPPING))
+    return any_in(content, cat.REST_MARKERS) | mapped
 
 
 def is_java(path: Column) -> Column:
-    return text.suffix(path) == ".java"
+    lower = F.lower(path)
+    dot_file = (lower == ".java") | F.endswith(lower, F.lit("/.java"))
+    return F.endswith(lower, F.lit(".java")) & ~dot_file
 
 
 def is_spring(path: Column, content: Column) -> Column:
-    """A Java file with an application class, a messaging form or a REST form."""
-    forms = [p.regex.removeprefix("(?U)") for p in cat.SPRING_PRODUCERS + cat.SPRING_CONSUMERS]
-    return is_java(path) & (
-        F.contains(content, F.lit(cat.SPRING_APPLICATION))
-        | any_of(content, forms)
-        | is_rest(content)
-    )
+    """A Java file with an application class, a messaging form or a REST form.
+
+    A form's regex is tried only where its literal occurs.
+    """
+    forms = [
+        any_in(content, p.needles) & F.rlike(content, F.lit(p.regex))
+        for p in cat.SPRING_PRODUCERS + cat.SPRING_CONSUMERS
+    ]
+    found = reduce(Column.__or__, forms, F.contains(content, F.lit(cat.SPRING_APPLICATION)))
+    return is_java(path) & (found | is_rest(content))
 
 
 def applicable_files(files: DataFrame) -> DataFrame:
