@@ -15,6 +15,7 @@ from topicloom.functions import catalogue as cat
 from topicloom.functions import text
 from topicloom.functions.text import positions_sql, quoted
 from topicloom.operators import files as file_ops
+from topicloom.operators.skew import salted_join
 
 PLACE = "struct<line: int, col: int>"
 FACT = (
@@ -305,7 +306,7 @@ def resolve_constants(uses: DataFrame, constants: DataFrame) -> DataFrame:
     """X7 as a join: token of the same file's constant, else the token itself."""
     named = constants.select("path", F.col("name").alias("token"), "value")
     return (
-        uses.join(named, ["path", "token"], "left")
+        salted_join(uses, named, ["path", "token"], "left")
         .withColumn("topic", F.coalesce("value", "token"))
         .drop("value")
     )
