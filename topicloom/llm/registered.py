@@ -9,7 +9,7 @@ import importlib
 
 from topicloom.llm.base import ORACLES, QUERIES
 
-MODULES = ("rules", "mixing")
+MODULES = ("rules", "mixing", "pieces")
 
 for _name in MODULES:
     importlib.import_module(f"topicloom.llm.{_name}")
