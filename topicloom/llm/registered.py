@@ -9,7 +9,7 @@ import importlib
 
 from topicloom.llm.base import ORACLES, QUERIES
 
-MODULES = ("rules", "mixing", "pieces", "warc", "jaccard")
+MODULES = ("rules", "mixing", "pieces", "warc", "jaccard", "embeddings")
 
 for _name in MODULES:
     importlib.import_module(f"topicloom.llm.{_name}")
