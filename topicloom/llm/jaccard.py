@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.base import query, table
 from topicloom.llm.components import components
+from topicloom.llm.filters import id_bitmap, with_maybe
 from topicloom.session import materialize
 
 TILE = 128  # classes in a block
@@ -351,9 +352,8 @@ def jaccard_groups(
     groups = components(materialize(stars, "stars"))
     members = classes.join(groups, classes.sig == groups.node).select("rep", "n", F.col("component").alias("group"))
     members = materialize(members, "members")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(
-        members.select("rep", F.col("n").alias("size")), "rep"
-    )
+    texts = with_maybe(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep", id_bitmap(members.select("rep")))
+    texts = texts.where("__maybe").drop("__maybe").join(members.select("rep", F.col("n").alias("size")), "rep")
     # a repeated id may come with other texts: only the set that stands for the class
     wanted = materialize(
         _sets(texts.select("rep", "size", "text"), words).where(F.size("elements") == F.col("size")).select("rep", "elements"), "elements"
