@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph, one row per node throughout."""
+"""Connected components of an undirected graph by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -8,28 +8,39 @@ from pyspark.sql import functions as F
 from topicloom.session import materialize
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, parent) with every parent its own parent: pointers double until nothing moves."""
+    while True:
+        further = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        stepped = parents.join(further, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved"))
+        stepped = materialize(stepped, "parents")
+        if stepped.where("moved").isEmpty():
+            return parents
+        parents = stepped.drop("moved")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node each node of ``edges`` reaches.
 
-    Each round a node takes the smallest label around it, then the label of that label,
-    which halves long paths. Rounds are written to the shared folder. Nulls link nothing.
+    A round hooks every node to the least node around it, follows the hooks to their roots
+    and puts the roots in the place of their nodes; edges inside a root are gone, and the
+    next round has the few that are left. Rounds are written to the shared folder. Nulls
+    link nothing.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    both = materialize(pairs.union(pairs.select("v", "u")).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "labels")
-    while True:
-        around = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(
-            F.min("label").alias("near")
-        )
-        stepped = labels.join(around, "node").select(
-            "node", F.col("label").alias("before"), F.least("label", "near").alias("label")
-        )
-        stepped = materialize(stepped, "labels")
-        further = stepped.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        labels = materialize(
-            stepped.join(further, "label").select("node", F.col("jump").alias("label"), (F.col("jump") != F.col("before")).alias("moved")),
-            "labels",
-        )
-        if labels.where("moved").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-        labels = labels.drop("moved")
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    layers = []
+    while not layers or not pairs.isEmpty():
+        around = pairs.union(pairs.select("v", "u")).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least"))
+        layer = _roots(materialize(around.select("node", F.least("node", "least").alias("parent")), "parents"))
+        layers.append(layer)
+        left = layer.select(F.col("node").alias("u"), F.col("parent").alias("x"))
+        right = layer.select(F.col("node").alias("v"), F.col("parent").alias("y"))
+        met = pairs.join(left, "u").select("x", "v").distinct().join(right, "v").where("x <> y")
+        pairs = materialize(met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "links")
+    # roots of a round are nodes of the next; the last round's roots are the components
+    named = layers[-1].select("node", F.col("parent").alias("component"))
+    for layer in reversed(layers[:-1]):
+        upper = named.withColumnRenamed("node", "parent")
+        named = layer.join(upper, "parent", "left").select("node", F.coalesce("component", "parent").alias("component"))
+    return materialize(named, "components")
