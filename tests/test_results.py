@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicloom.functions import catalogue as cat
-from topicloom.operators import skew, topics, views
+from topicloom.operators import numbering, skew, topics, views
 from topicloom.plans import analyze
 from topicloom.sources import corpus as corpora
 from topicloom.sources import documents
@@ -85,24 +85,24 @@ def _services(spark, *names):
     return spark.createDataFrame([(n, n, "java") for n in names], "service string, root_path string, language string")
 
 
-def test_documents_go_on_over_parts_and_stay_whole(spark, tmp_path, rows):
+def test_documents_are_entries_and_stay_whole(spark, tmp_path, rows):
     roles = _roles(spark)
     fields = [("a", "int")]
     schemas = spark.createDataFrame(
         [("s", f"S{i}", "avro", 'n"s', fields) for i in range(9)],
         "service string, schema string, type string, namespace string, fields array<struct<name:string,type:string>>",
     )
-    docs = documents.analysis_documents(_services(spark, "s", "idle"), roles, schemas, limit=10)
+    docs = documents.analysis_documents(_services(spark, "s", "idle"), roles, schemas)
     parts = [json.loads(r.document) for r in docs.collect()]
     mine = [p["services"]["s"] for p in parts if "s" in p["services"]]
-    assert len(mine) > 2
+    assert len(mine) == 1 + 3 + 9
     places = [
         loc for p in mine for t in p["topics"].values()
         for kind in ("producer_locations", "consumer_locations") for loc in t.get(kind, {}).get("s", [])
     ]
     assert sorted(places) == sorted(f"s/f{i}.java:{i}:1" for i in range(40))
     assert {n for p in mine for n in p["schemas"]} == {f"S{i}" for i in range(9)}
-    assert mine[0]["schemas"] == {} or next(iter(mine[0]["schemas"].values()))["namespace"] == 'n"s'
+    assert {s["namespace"] for p in mine for s in p["schemas"].values()} == {'n"s'}
     documents.write_analysis(docs, str(tmp_path / "out"))
     back = documents.scan_analysis(spark, str(tmp_path / "out"))
     assert rows(back.services.select("service").distinct()) == {("s",), ("idle",)}
@@ -110,14 +110,18 @@ def test_documents_go_on_over_parts_and_stay_whole(spark, tmp_path, rows):
     assert rows(merged, "topic", "service", "role") == rows(roles.selectExpr("topic", "service", "role").distinct())
 
 
-def test_packed_lists_split_hot_keys_only(spark):
-    data = [("hot", f"v{i:03d}") for i in range(300)] + [("cold", "x"), ("cold", "y")]
-    df = spark.createDataFrame(data, "k string, v string")
-    got = skew.packed_lists(df, ["k"], {"vs": F.col("v")}, ["v"], limit=50).collect()
-    hot = [r for r in got if r.k == "hot"]
-    assert len(hot) > 3 and max(len(r.vs) for r in hot) < 100
-    assert sorted(v for r in hot for v in r.vs) == [f"v{i:03d}" for i in range(300)]
-    assert [(r.part, r.vs) for r in got if r.k == "cold"] == [(0, ["x", "y"])]
+def test_lists_are_rows_whatever_their_length(spark):
+    data = [("hot", f"v{i:03d}") for i in range(300)] + [("cold", "y"), ("cold", "x")]
+    df = spark.createDataFrame(data, "k string, v string").repartition(5)
+    got = numbering.numbered_lists(df, ["k"], "v").collect()
+    assert sorted(map(tuple, got)) == [("cold", 0, "x"), ("cold", 1, "y")] + [("hot", i, f"v{i:03d}") for i in range(300)]
+
+
+def test_measured_join_repeats_hot_keys_only(spark):
+    left = spark.createDataFrame([("hot" if i % 3 else f"k{i % 6}", i) for i in range(300)], "k string, v int")
+    right = spark.createDataFrame([("hot", i) for i in range(20)] + [("k0", 1), ("none", 2)], "k string, w int")
+    got = sorted(map(tuple, skew.measured_join(left, right, ["k"], per_salt=20).collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").collect()))
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -130,7 +134,7 @@ def test_salted_join_equals_plain_join(spark, how):
 
 def test_dense_index(spark):
     df = spark.createDataFrame([(f"n{i:04d}",) for i in range(500)], "name string").repartition(7)
-    got = [(r.id, r.name) for r in views.dense_index(df, ["name"]).collect()]
+    got = [(r.id, r.name) for r in numbering.dense_index(df, ["name"]).collect()]
     assert sorted(got) == [(i, f"n{i:04d}") for i in range(500)]
 
 
@@ -167,10 +171,9 @@ def test_neighbourhood_and_details(spark, rows):
         ("a", "java", 1, 0, 1), ("z", "java", 0, 0, 0),
     }
     assert rows(views.topic_details(members)) == {("t", 1, 1), ("u", 1, 0)}
-    lists = views.service_item_lists(members, schemas)
-    assert rows(lists.select("service", "section", F.concat_ws(",", "items"))) == {
-        ("a", "produces", "t"), ("a", "schemas", "S"), ("b", "consumes", "t"), ("b", "produces", "u"),
-        ("b", "schemas", "T"),
+    assert rows(views.service_item_lists(members, schemas), "service", "section", "pos", "item") == {
+        ("a", "produces", 0, "t"), ("a", "schemas", 0, "S"), ("b", "consumes", 0, "t"), ("b", "produces", 0, "u"),
+        ("b", "schemas", 0, "T"),
     }
     clash = spark.createDataFrame([("a-b",), ("a.b",), ("c",)], "name string")
     assert rows(views.node_id_collisions(clash, "name")) == {("a_b", 2)}

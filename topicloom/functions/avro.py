@@ -7,32 +7,34 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import catalogue as cat
 
-ARRAY_DEPTH = 16
-
-
 def normalize_field_type(raw: Column) -> Column:
     """C2. ``raw`` is the type's JSON text, or the bare name of a named type.
 
-    Unions lose null; arrays may nest ``ARRAY_DEPTH`` deep, and what lies deeper
-    stays JSON text, as do maps, enums and other objects.
+    Unions lose null; maps, enums and other objects stay JSON text. Arrays are peeled
+    one by one: there are at most as many as the text has the word "array".
     """
+    words = F.size(F.split(raw, '"array"')) - 1
+
+    def peel(acc: Column, _: Column) -> Column:
+        is_array = F.startswith(acc["raw"], F.lit("{")) & (F.get_json_object(acc["raw"], "$.type") == "array")
+        inner = F.get_json_object(acc["raw"], "$.items")
+        more = ~acc["done"] & F.coalesce(is_array, F.lit(False)) & inner.isNotNull()
+        return F.struct(
+            (acc["levels"] + F.when(more, 1).otherwise(0)).alias("levels"),
+            F.when(more, inner).otherwise(acc["raw"]).alias("raw"),
+            (~more).alias("done"),
+        )
+
+    start = F.struct(F.lit(0).alias("levels"), raw.alias("raw"), F.lit(False).alias("done"))
+    rounds = F.when(words > 0, F.sequence(F.lit(1), words)).otherwise(F.array().cast("array<int>"))
+    return F.when(raw.isNotNull(), _spelled(F.aggregate(rounds, start, peel)))
+
+
+def _spelled(peeled: Column) -> Column:
+    def spell(p: Column) -> Column:
+        return F.concat(F.repeat(F.lit("array("), p["levels"]), _bound(p["raw"]), F.repeat(F.lit(")"), p["levels"]))
 
-    def at(depth: int) -> Column:
-        if depth == 0:
-            return raw
-        return F.get_json_object(raw, "$" + ".items" * depth)
-
-    def kind(depth: int) -> Column:
-        return F.get_json_object(raw, "$" + ".items" * depth + ".type")
-
-    is_object = F.startswith(raw, F.lit("{"))
-    levels = F.lit(0)
-    for depth in reversed(range(ARRAY_DEPTH)):
-        levels = F.when(is_object & (kind(depth) == "array"), 1 + levels).otherwise(F.lit(0))
-    leaf = at(ARRAY_DEPTH)
-    for depth in reversed(range(ARRAY_DEPTH)):
-        leaf = F.when(is_object & (kind(depth) == "array"), leaf).otherwise(at(depth))
-    return F.concat(F.repeat(F.lit("array("), levels), _bound(leaf), F.repeat(F.lit(")"), levels))
+    return F.get(F.transform(F.array(peeled), spell), 0)
 
 
 def _bound(raw: Column) -> Column:

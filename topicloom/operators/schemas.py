@@ -17,7 +17,6 @@ from topicloom.operators.skew import salted_join
 
 RECORD = "type string, name string, namespace string, fields array<struct<name: string, type: string>>"
 FIELDS = "array<struct<name: string, type: string>>"
-NESTED_BLOCKS = 24
 
 AVSC, CLASS, REGISTRY = 1, 2, 3
 
@@ -67,6 +66,28 @@ def avro_schemas(files: DataFrame) -> DataFrame:
     return parse_records(files.where(F.endswith("path", F.lit(".avsc"))), "content", ["path"])
 
 
+def own_level(body: Column) -> Column:
+    """What stands in a block itself, given the text behind its opening brace: blocks
+    inside it, however deep, become a ``;``, and what follows its closing brace is gone.
+
+    One pass over the pieces between braces, carrying the depth.
+    """
+
+    def step(acc: Column, piece: Column) -> Column:
+        opens, closes = F.startswith(piece, F.lit("{")), F.startswith(piece, F.lit("}"))
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        ended = acc["ended"] | (depth <= 0)
+        plain = F.when(opens | closes, F.substring(piece, 2, 1 << 30)).otherwise(piece)
+        mark = F.when(closes, F.lit(";")).otherwise(F.lit(""))
+        return F.struct(
+            depth.alias("depth"), ended.alias("ended"),
+            F.when(~ended & (depth == 1), F.concat(acc["text"], mark, plain)).otherwise(acc["text"]).alias("text"),
+        )
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(False).alias("ended"), F.lit("").alias("text"))
+    return F.aggregate(F.split(body, r"(?=[{}])"), start, step, lambda acc: acc["text"])
+
+
 def generated_classes(files: DataFrame) -> DataFrame:
     """Classes marked as generated from Avro, with their member fields.
 
@@ -85,10 +106,7 @@ def generated_classes(files: DataFrame) -> DataFrame:
     )
     header = annotation + r"[^{;]*?\bclass\s+(\w+)[^{]*\{"
     body = F.regexp_extract("text", "(?s)" + header + "(.*)$", 2)
-    members = body
-    for _ in range(NESTED_BLOCKS):
-        members = F.regexp_replace(members, r"\{[^{}]*\}", ";")
-    own = F.split(F.substring_index(members, "}", 1), ";")
+    own = F.split(own_level(body), ";")
     declaration = (
         r"(?s)^\s*(?:@[\w.]+(?:\([^)]*\))?\s+)*"
         r"(?:(?:public|protected|private|static|final|transient|volatile)\s+)*"
@@ -163,7 +181,7 @@ def registry_schemas(refs: DataFrame, snapshot: DataFrame) -> DataFrame:
     numbered = snapshot.select(
         "subject", F.col("version").cast("string").alias("version"), F.col("schema").alias("json")
     )
-    found = salted_join(refs, numbered.union(latest), ["subject", "version"])
+    found = refs.join(numbered.union(latest), ["subject", "version"])
     return parse_records(found, "json", ["path"])
 
 

@@ -1,14 +1,16 @@
-"""Joins and groupings that stay even when one key owns a third of the rows."""
+"""Joins that stay even when one key owns a third of the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.session import materialize
+
 SALTS = 8
-LIST_LIMIT = 10_000
+ROWS_PER_SALT = 100_000
 
 
 def salted_join(
@@ -35,34 +37,15 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def with_parts(
-    rows: DataFrame, keys: Sequence[str], spread: Sequence[str], limit: int = LIST_LIMIT
-) -> DataFrame:
-    """Add ``part``: a 0-based split of each key into about ``limit`` rows.
-
-    Small keys get part 0 only. The split depends on the row's content alone, so
-    a recomputed task gives the same parts.
-    """
-    sizes = rows.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("_parts")
-    )
-    part = F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")
-    return salted_join(rows, sizes, keys).withColumn("part", part).drop("_parts")
-
-
-def packed_lists(
-    rows: DataFrame,
-    keys: Sequence[str],
-    lists: dict[str, Column],
-    spread: Sequence[str],
-    limit: int = LIST_LIMIT,
-) -> DataFrame:
-    """Nested view: sorted lists per key, hot keys continued over several parts.
+def measured_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Inner equi-join of stored ``rows`` and a ``lookup`` of which both may have hot keys.
 
-    Nothing is cut off: the lists of all parts of a key together are the whole
-    group, while no single row or task has to hold more than about ``limit``.
+    A key takes a sub-key per ``per_salt`` of its rows, so only the lookup rows of
+    hot keys are repeated, and as often as the measured count asks for.
     """
-    parts = with_parts(rows, keys, spread, limit)
-    aggs = [F.sort_array(F.collect_list(c)).alias(name) for name, c in lists.items()]
-    by = [*keys, "part"]
-    return parts.repartition(*by).groupBy(*by).agg(*aggs)
+    salts = rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / per_salt).cast("int").alias("_salts")).where("_salts > 1")
+    salts = materialize(salts, "salts")
+    number = F.coalesce("_salts", F.lit(1))
+    left = rows.join(salts, list(on), "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), number).cast("int"))
+    right = lookup.join(salts, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), number - 1)))
+    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"]).drop("_salt")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.operators.services import assign_files
-from topicloom.operators.skew import packed_lists
+from topicloom.operators.numbering import numbered_lists
 
 ROLE_COLUMNS = ("service", "topic", "role", "path", "line", "col")
 
@@ -52,18 +52,9 @@ def global_topics(members: DataFrame) -> DataFrame:
     )
 
 
-def global_topic_lists(members: DataFrame, limit: int = 10_000) -> DataFrame:
-    """G2 nested: (topic, part, producers, consumers), sorted lists."""
-    return packed_lists(
-        members,
-        ["topic"],
-        {
-            "producers": F.when(F.col("role") == "producer", F.col("service")),
-            "consumers": F.when(F.col("role") == "consumer", F.col("service")),
-        },
-        ["service", "role"],
-        limit,
-    )
+def global_topic_lists(members: DataFrame) -> DataFrame:
+    """G2 nested, as rows: (topic, role, pos, service), services numbered in order."""
+    return numbered_lists(members.select("topic", "role", "service"), ["topic", "role"], "service")
 
 
 def analysis_summary(services: DataFrame, topics: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -103,10 +94,9 @@ def schema_usage(schemas: DataFrame) -> DataFrame:
     )
 
 
-def schema_service_lists(schemas: DataFrame, limit: int = 10_000) -> DataFrame:
-    """G5 nested: (schema, part, services)."""
-    pairs = schemas.select("schema", "service").distinct()
-    return packed_lists(pairs, ["schema"], {"services": F.col("service")}, ["service"], limit)
+def schema_service_lists(schemas: DataFrame) -> DataFrame:
+    """G5 nested, as rows: (schema, pos, service), services numbered in order."""
+    return numbered_lists(schemas.select("schema", "service").distinct(), ["schema"], "service")
 
 
 def topic_roles_in_result(topics: DataFrame) -> DataFrame:

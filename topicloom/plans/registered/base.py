@@ -88,9 +88,9 @@ topic_edges AS (
   SELECT p.service AS source, c.service AS target, p.topic
   FROM members p JOIN members c ON p.topic = c.topic AND p.role = 'producer' AND c.role = 'consumer'
   WHERE p.service <> c.service)"""
-URGENT = f"""{EDGES},
-urgent AS (SELECT DISTINCT source, target FROM topic_edges WHERE starts_with(topic, 'urgent-'))"""
-REACH = f"""{URGENT},
+PAIRS = f"""{EDGES},
+pairs AS (SELECT DISTINCT source, target FROM topic_edges)"""
+REACH = f"""{PAIRS},
 reach AS (
-  SELECT source, target FROM urgent
-  UNION SELECT r.source, u.target FROM reach r JOIN urgent u ON r.target = u.source)"""
+  SELECT source, target FROM pairs
+  UNION SELECT r.source, u.target FROM reach r JOIN pairs u ON r.target = u.source)"""

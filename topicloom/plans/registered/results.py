@@ -47,18 +47,11 @@ def global_topics(spark, sf):
 
 @query(
     "g2_global_topic_lists",
-    f"""WITH {MEMBERS} SELECT topic, 0 AS part,
-               coalesce(string_agg(service, ',' ORDER BY service) FILTER (role = 'producer'), '') AS producers,
-               coalesce(string_agg(service, ',' ORDER BY service) FILTER (role = 'consumer'), '') AS consumers
-        FROM members GROUP BY topic""",
+    f"""WITH {MEMBERS} SELECT topic, role, service,
+               row_number() OVER (PARTITION BY topic, role ORDER BY service) - 1 AS pos FROM members""",
 )
 def global_topic_lists(spark, sf):
-    lists = topics.global_topic_lists(shared.stored_members(spark, sf), limit=1_000_000)
-    return lists.select(
-        "topic", "part",
-        F.array_join("producers", ",").alias("producers"),
-        F.array_join("consumers", ",").alias("consumers"),
-    )
+    return topics.global_topic_lists(shared.members(spark, sf))
 
 
 @query(
@@ -96,12 +89,11 @@ def schema_usage(spark, sf):
 
 @query(
     "g5_schema_service_lists",
-    f"""WITH {USES} SELECT schema, 0 AS part, string_agg(service, ',' ORDER BY service) AS services
-        FROM uses GROUP BY schema""",
+    f"""WITH {USES} SELECT schema, service,
+               row_number() OVER (PARTITION BY schema ORDER BY service) - 1 AS pos FROM uses""",
 )
 def schema_service_lists(spark, sf):
-    lists = topics.schema_service_lists(shared.stored_schemas(spark, sf))
-    return lists.withColumn("services", F.array_join("services", ","))
+    return topics.schema_service_lists(shared.party_schemas(spark, sf))
 
 
 def _result_documents(spark, sf):
@@ -207,7 +199,7 @@ def group_by_service_topic(spark, sf):
 def write_analysis(spark, sf):
     services = materialize(shared.found_services(spark, sf), "services")
     docs = documents.analysis_documents(
-        services, shared.stored_roles(spark, sf), shared.stored_schemas(spark, sf), limit=1_000_000
+        services, shared.stored_roles(spark, sf), shared.stored_schemas(spark, sf)
     )
     got = documents.parse_analysis(materialize(docs, "documents"), "document")
     return got.topics.join(got.services.select("service", "language"), "service").select(

@@ -43,10 +43,9 @@ def topic_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.topic_edges(stored_members(spark, sf))
 
 
-def urgent_edges(spark: SparkSession, sf: str) -> DataFrame:
-    urgent = topics.filter_topics(members(spark, sf), include=["^urgent-"])
-    edges = graph.topic_edges(materialize(urgent, "members"))
-    return materialize(edges.select("source", "target").distinct(), "edges")
+def service_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Who feeds whom, over all topics."""
+    return materialize(topic_edges(spark, sf).select("source", "target").distinct(), "edges")
 
 
 def stored_schemas(spark: SparkSession, sf: str) -> DataFrame:

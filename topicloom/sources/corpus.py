@@ -32,10 +32,9 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     hold no matches.
     """
     base = root.rstrip("/")
-    listed = (
-        spark.read.option("ignoreMissingFiles", True)
-        .option("ignoreCorruptFiles", True)
-        .text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name_glob())
+    # a file may go while the job runs; a failing read is retried and then fails the job
+    listed = spark.read.option("ignoreMissingFiles", True).text(
+        base, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name_glob()
     )
     plain = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
     top = base if "://" in base else "/" + base.removeprefix("file:").lstrip("/")

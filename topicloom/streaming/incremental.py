@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from topicloom.functions import catalogue as cat
 from topicloom.operators.extraction import topic_facts
-from topicloom.operators.skew import salted_join
 
 STORE = "path string, analyzer string, pattern string, role string, token string, topic string, line int, col int, batch bigint"
 
@@ -53,7 +52,7 @@ def current_facts(spark: SparkSession, store: str) -> DataFrame:
     rows = spark.read.schema(STORE).parquet(store)
     newest = rows.groupBy("path").agg(F.max("batch").alias("batch"))
     return (
-        salted_join(rows, newest, ["path", "batch"], "left_semi")
+        rows.join(newest, ["path", "batch"], "left_semi")
         .where(F.col("topic").isNotNull())
         .drop("batch")
     )
@@ -64,5 +63,5 @@ def compact(spark: SparkSession, store: str, target: str) -> None:
     the batch number so that later batches still replace them."""
     rows = spark.read.schema(STORE).parquet(store)
     newest = rows.groupBy("path").agg(F.max("batch").alias("batch"))
-    kept = salted_join(rows, newest, ["path", "batch"], "left_semi")
+    kept = rows.join(newest, ["path", "batch"], "left_semi")
     kept.write.mode("overwrite").partitionBy("batch").parquet(target)
