@@ -23,15 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a share of a table stored in fewer pieces than cores.
+    """Give every core a share of a table, however few pieces it is stored in.
 
     Texts are far larger than the keys they are rendered from, so the narrow rows
-    are moved before rendering. A table with enough pieces is left as it is.
+    are moved before rendering.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if not rows.isStreaming and len(rows.inputFiles()) >= cores:
-        return rows
-    return rows.repartition(cores, *keys)
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def fill(template: str, **values: Column | str) -> Column:
@@ -267,7 +264,11 @@ def party_avsc(lineitem: DataFrame) -> DataFrame:
 
 def part_avsc(part: DataFrame) -> DataFrame:
     """A schema document per part. Some are no records, some no JSON: by size."""
-    values = {"p": "p_partkey", "b": "p_brand", "t": F.lower("p_type")}
+    values = {
+        "p": "p_partkey", "b": "p_brand", "t": F.lower("p_type"),
+        "open": F.repeat(F.lit('{"type": "array", "items": '), F.col("p_size")),
+        "close": F.repeat(F.lit("}"), F.col("p_size")),
+    }
     record = (
         '{"type": "record", "name": "Part<p>", "namespace": "shop.<t>", "fields": ['
         '{"name": "id", "type": "string"}, {"name": "stamp", "type": "long"},'
@@ -276,6 +277,7 @@ def part_avsc(part: DataFrame) -> DataFrame:
         ' {"name": "tags", "type": {"type": "array", "items": "string"}},'
         ' {"name": "grid", "type": {"items": {"type": "array", "items": ["null", "int"]}, "type": "array"}},'
         ' {"name": "meta", "type": {"type": "record", "name": "Meta<p>", "fields": []}},'
+        ' {"name": "deep", "type": <open>"int"<close>},'
         ' {"name": "id", "type": "bytes"}]}'
     )
     other = '{"type": "enum", "name": "Part<p>", "symbols": ["A"]}'
@@ -297,12 +299,17 @@ CLASS = (
     "    private String name, label;\n    private int size;\n    private List<String> tags;\n"
     "    private java.util.Map<String, Long> counts;\n    private Brand<p>[] brands;\n"
     "    public String getName() { if (size > 1) { String local = name; return local; } return name; }\n"
-    "    public void setSize(int size) { this.size = size; }\n}\n"
+    "    public void setSize(int size) { this.size = size; }\n"
+    "    public void nest() <open>int local;<close>\n    private long total;\n}\n"
 )
 
 
 def class_files(part: DataFrame) -> DataFrame:
-    values = {"p": "p_partkey", "b": "p_brand"}
+    """A generated class per part; the blocks of one method nest as deep as the part's size."""
+    values = {
+        "p": "p_partkey", "b": "p_brand",
+        "open": F.repeat(F.lit("{ "), F.col("p_size")), "close": F.repeat(F.lit(" }"), F.col("p_size")),
+    }
     return rendered(
         spread(part, "p_partkey"),
         fill("svc-<p>/src/Part<p>.java", **values),

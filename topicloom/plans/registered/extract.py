@@ -13,6 +13,8 @@ from topicloom.plans import corpora
 from topicloom.plans.corpora import fill, table
 from topicloom.plans.registered import shared
 from topicloom.plans.registered.base import HITS, MEMBERS, query
+from topicloom.session import scratch_path
+from topicloom.sources import corpus as corpus_source
 from topicloom.sources.corpus import table_corpus
 
 FACTS = ["analyzer", "pattern", "role", "topic", "path", "line", "col"]
@@ -30,6 +32,25 @@ def scan_corpus(spark, sf):
     return table_corpus(docs.withColumn("path", path), content="text")
 
 
+_API_SQL = corpora.API.replace("'", "''")
+
+
+@query(
+    "s1_scan_files",
+    f"""SELECT 'svc-' || s_suppkey AS service,
+               replace(replace('{_API_SQL}', '<k>', s_suppkey::VARCHAR), '<n>', s_nationkey::VARCHAR) || chr(10) AS content
+        FROM supplier""",
+)
+def scan_files(spark, sf):
+    """Texts written as files, a folder per service, and read back by the file scan."""
+    folder = scratch_path(spark, "files")
+    texts = corpora.api_files(table(spark, sf, "supplier"))
+    service = F.substring_index("path", "/", 1)
+    texts.select(service.alias("service"), F.col("content").alias("value")).write.partitionBy("service").text(folder)
+    read = corpus_source.scan_corpus(spark, folder)
+    return read.select(F.regexp_extract("path", "^service=([^/]+)/", 1).alias("service"), "content")
+
+
 # --- file filters ----------------------------------------------------------
 
 

@@ -202,7 +202,7 @@ def write_analysis(spark, sf):
         services, shared.stored_roles(spark, sf), shared.stored_schemas(spark, sf)
     )
     got = documents.parse_analysis(materialize(docs, "documents"), "document")
-    return got.topics.join(got.services.select("service", "language"), "service").select(
+    return got.topics.join(got.services.select("service", "language").distinct(), "service").select(
         "service", "language", "topic",
         F.array_join("producers", ",").alias("producers"),
         F.array_join("consumers", ",").alias("consumers"),
@@ -426,8 +426,7 @@ def analysis_services(spark, sf):
 
 def _hub_topics(facts):
     """Topics that some service produces and another consumes, by fan-out."""
-    edges = g.topic_edges(topics.topic_members(facts.roles))
-    return edges.groupBy("topic").agg(F.countDistinct("target").alias("fan_out"))
+    return g.topic_fan_out(topics.topic_members(facts.roles))
 
 
 @query(
@@ -445,21 +444,17 @@ def service_analysis(spark, sf):
 @query(
     "i1_incremental_extract",
     """SELECT DISTINCT 'svc-' || l_suppkey AS service, 'order-' || l_orderkey AS topic, 'producer' AS role FROM lineitem
-       UNION SELECT 'svc-' || l_suppkey, 'urgent-' || l_orderkey, 'producer' FROM lineitem WHERE l_quantity >= 48""",
+       UNION SELECT 'svc-' || l_suppkey, 'urgent-' || l_orderkey, 'producer' FROM lineitem
+             WHERE l_quantity >= 48 AND l_linenumber > 1""",
 )
 def incremental_extract(spark, sf):
-    schema = table(spark, sf, "lineitem").schema
-    arriving = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "lineitem.parquet")
-        .option("recursiveFileLookup", True)
-        .parquet(sf)
-    )
-    store = scratch_path(spark, "facts")
-    running = incremental.start_extract(
-        corpora.line_files(arriving), store, scratch_path(spark, "progress"), locate=False
-    )
-    running.awaitTermination()
+    """All files arrive; then those of first lines come again, no longer urgent."""
+    lines = table(spark, sf, "lineitem")
+    folder, store, progress = (scratch_path(spark, x) for x in ("arriving", "facts", "progress"))
+    for rows in (lines, lines.where("l_linenumber = 1").withColumn("l_quantity", F.lit(0.0))):
+        rows.write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(lines.schema).parquet(folder)
+        incremental.start_extract(corpora.line_files(arriving), store, progress, locate=False).awaitTermination()
     facts = incremental.current_facts(spark, store)
     return facts.select(
         F.substring_index("path", "/", 1).alias("service"), "topic", "role"

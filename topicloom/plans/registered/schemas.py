@@ -14,7 +14,7 @@ from topicloom.plans.registered.base import USES, query
 @query(
     "c1_avro_schemas",
     """SELECT 'schemas/' || p_brand || '/Part' || p_partkey || '.avsc' AS path, 'Part' || p_partkey AS schema,
-              'avro' AS type, 'shop.' || lower(p_type) AS namespace, 7 AS n_fields
+              'avro' AS type, 'shop.' || lower(p_type) AS namespace, 8 AS n_fields
        FROM part WHERE p_size > 10""",
 )
 def avro_schemas(spark, sf):
@@ -24,9 +24,9 @@ def avro_schemas(spark, sf):
 
 @query(
     "c2_normalize_field_type",
-    """SELECT 'Part' || p_partkey AS schema, pos, field, CASE WHEN field = 'meta' THEN 'Meta' || p_partkey ELSE field_type END AS field_type
+    """SELECT 'Part' || p_partkey AS schema, pos, field, CASE field WHEN 'meta' THEN 'Meta' || p_partkey WHEN 'deep' THEN repeat('array(', p_size) || 'int' || repeat(')', p_size) ELSE field_type END AS field_type
        FROM part, (VALUES (0, 'stamp', 'long'), (1, 'data', 'string'), (2, 'size', 'union(string,int)'), (3, 'tags', 'array(string)'),
-                          (4, 'grid', 'array(array(int))'), (5, 'meta', ''), (6, 'id', 'bytes')) f(pos, field, field_type)
+                          (4, 'grid', 'array(array(int))'), (5, 'meta', ''), (6, 'deep', ''), (7, 'id', 'bytes')) f(pos, field, field_type)
        WHERE p_size > 10""",
 )
 def normalize_field_type(spark, sf):
@@ -38,7 +38,7 @@ def normalize_field_type(spark, sf):
     "c3_generated_classes",
     """SELECT 'Part' || p_partkey AS schema, 'shop.parts' AS namespace, pos, field, field_type
        FROM part, (VALUES (0, 'DOC', 'string'), (1, 'name', 'string'), (2, 'label', 'string'), (3, 'size', 'int'),
-                          (4, 'tags', 'List<string>'), (5, 'counts', 'object'), (6, 'brands', 'array(object)')) f(pos, field, field_type)""",
+                          (4, 'tags', 'List<string>'), (5, 'counts', 'object'), (6, 'brands', 'array(object)'), (7, 'total', 'long')) f(pos, field, field_type)""",
 )
 def generated_classes(spark, sf):
     found = c.generated_classes(corpora.class_files(table(spark, sf, "part")))
