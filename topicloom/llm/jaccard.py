@@ -43,7 +43,7 @@ from topicloom.session import materialize
 TILE = 128  # classes in a block
 BITS = 1024
 SEEN = 200_000  # sets a task remembers to leave out copies
-BATCH_BYTES = 1 << 20  # texts hashed at once
+BATCH_BYTES = 1 << 18  # texts hashed at once
 
 
 # --- shingles ----------------------------------------------------------------

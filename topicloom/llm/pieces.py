@@ -36,8 +36,8 @@ from topicloom.llm.base import query, table
 BLANK = "▁"
 UNITS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 START = -1
-MOST_UNITS = 500_000  # units that a worker remembers
-MOST_CHARS = 8_000_000  # and their characters, so long ones take no more room
+MOST_UNITS = 150_000  # units that a worker remembers
+MOST_CHARS = 2_400_000  # and their characters, so long ones take no more room
 MOST_PAIRS = 500_000  # pairs of pieces that a worker remembers
 LONG_RUN = 64  # shorter runs are encoded many at a time, longer ones by themselves
 ROWS = 128  # texts in one pass
