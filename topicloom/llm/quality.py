@@ -4,7 +4,7 @@ Overlapping heuristic labellers vote good, bad or nothing on a text. Their accur
 the share of good texts are estimated by expectation maximisation over the patterns of
 votes (a table of at most 3 ** labellers rows, however many texts there are), without any
 true label. The posterior of a pattern then labels its texts, and a linear scorer over
-hashed features learns from these labels on a bounded sample: at most ``PER_PATTERN`` texts
+hashed features learns from these labels on a bounded sample: at most 512 texts
 of each pattern and ``SAMPLE`` in all, those of smallest hash. The scorer judges every text, also those on which
 no labeller votes.
 
@@ -31,7 +31,7 @@ from topicloom.session import materialize
 
 GOOD, NONE, BAD = 1, 0, -1
 SLOTS = 4096  # hashed features
-PER_PATTERN = 400  # texts of each pattern of votes the scorer learns from, at most
+SLICES, PER_SLICE = 256, 2  # texts of each pattern of votes the scorer learns from, at most: 512
 SAMPLE = 8000  # and of all patterns together, the first of each pattern first
 EPOCHS, RATE, DECAY = 25, 0.5, 1e-4
 KEEP = 0.5  # least score that keeps a text
@@ -214,10 +214,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelle
     cast = materialize(votes(docs, id_col, text_col, labellers), "votes")
     counts = {r["pattern"]: r["count"] for r in cast.groupBy("pattern").count().collect()}  # 3 ** labellers rows at most
     accuracy, _, posterior = estimate(counts)
-    # smallest hashes of each pattern: first within slices, so that no pattern meets in one task whole
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))
-    few = cast.distinct().withColumn("slice", F.pmod(F.col("h"), F.lit(256))).withColumn("k", rank("pattern", "slice")).where(F.col("k") <= PER_PATTERN)
-    few = few.withColumn("k", rank("pattern")).where(F.col("k") <= PER_PATTERN)
+    # the smallest hashes in each of some slices of a pattern, so that no pattern meets in one task
+    order = Window.partitionBy("pattern", "slice").orderBy("h", "id")
+    few = cast.distinct().withColumn("slice", F.pmod(F.col("h"), F.lit(SLICES))).withColumn("k", F.row_number().over(order))
+    few = few.where(F.col("k") <= PER_SLICE)
     few = few.orderBy("k", "h").limit(SAMPLE).select("h", "pattern").distinct()
     picked = F.broadcast(materialize(few, "picked"))  # SAMPLE rows at most
     h = F.xxhash64(F.col(id_col), F.col(text_col))
