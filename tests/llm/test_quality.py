@@ -64,3 +64,11 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     scorer, posterior, _, _ = q.fit(docs)
     assert q.classify(docs, scorer, posterior).count() == 0
+
+
+def test_variety_looks_at_the_whole_text():
+    varied, poor = [f"w{i}" for i in range(400)], ["x", "y"] * 2000
+    assert q.by_variety(q.Text(" ".join(varied + poor))) == q.BAD
+    assert q.by_variety(q.Text(" ".join(poor[:400] + [f"v{i % 900}" for i in range(4000)]))) == q.GOOD
+    assert q.by_variety(q.Text(" ".join(varied + ["x"] * 19))) == q.GOOD  # no short window at the end
+    assert q.by_variety(q.Text(" ".join(varied[:19]))) == q.NONE and q.by_variety(q.Text("a b " * 100)) == q.BAD

@@ -36,6 +36,7 @@ SAMPLE = 8000  # and of all patterns together, the first of each pattern first
 EPOCHS, RATE, DECAY = 25, 0.5, 1e-4
 KEEP = 0.5  # least score that keeps a text
 ROWS = 128
+SPAN = 400  # words of a window of by_variety
 
 
 def _share(text: Text, measure: str) -> float:
@@ -75,10 +76,15 @@ def by_neighbours(text: Text) -> int:
 
 
 def by_variety(text: Text) -> int:
-    """Distinct words against what a text of that length has."""
-    n = min(len(text.words), 400)
-    share = len(set(text.words[:n])) / max(1, n)
-    return NONE if n < 20 else BAD if share < 0.25 else GOOD if share > 0.4 else NONE
+    """Distinct words against what a text of that length has: the mean share over windows of ``SPAN``
+    words that cover the whole text, evenly spaced so that the last is whole too."""
+    words, n = text.words, len(text.words)
+    if n < 20:
+        return NONE
+    parts, span = -(-n // SPAN), min(n, SPAN)
+    starts = [(n - span) * k // max(1, parts - 1) for k in range(parts)]
+    share = sum(len(set(words[a : a + span])) for a in starts) / (span * parts)
+    return BAD if share < 0.25 else GOOD if share > 0.4 else NONE
 
 
 def by_lines(text: Text) -> int:
