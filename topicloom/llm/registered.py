@@ -9,7 +9,7 @@ import importlib
 
 from topicloom.llm.base import ORACLES, QUERIES
 
-MODULES = ("rules", "mixing", "pieces", "warc", "jaccard", "embeddings", "toxicity", "lines", "quality", "chat", "licenses", "tries")
+MODULES = ("rules", "mixing", "pieces", "warc", "jaccard", "embeddings", "toxicity", "lines", "quality", "chat", "licenses", "tries", "phrases")
 
 for _name in MODULES:
     importlib.import_module(f"topicloom.llm.{_name}")
