@@ -28,7 +28,6 @@ looked at. Equal words are told by 64-bit hashes.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +45,13 @@ LEAST = 100
 TOP = 2_000
 FIRST_CAP = 32  # times ``least``: the counts that the first round grows
 WIDER = 64
-BITS = 1 << 25  # 4 MB a bitmap
+BITS = 1 << 23  # 1 MB a bitmap
 PAGE = 1 << 15
 SKETCH = 1 << 22
 SKETCH_PAGE = 1 << 16
-ROW_WORDS, CHUNK = 16_384, 1_000_000  # words of an encoded row, and of a share that is counted at once
+ROW_WORDS, CHUNK = 16_384, 400_000  # words of an encoded row, and of a share that is counted at once
+
+HELD_WORDS = 250_000  # distinct words of a share
 
 _BORDERS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_BORDERS, b"." * len(_BORDERS))
@@ -60,19 +61,50 @@ def tokens(text: str | None) -> list[bytes]:
     """Words, and b"." for every border of pieces."""
     if not text:
         return []
-    return text.encode("utf-8", "surrogatepass").lower().translate(_TABLE).replace(b".", b" . ").replace(b"\t", b" ").split(b" ")
+    # of the white space that split() knows, blanks and tabs are left
+    return text.encode("utf-8", "surrogatepass").lower().translate(_TABLE).replace(b".", b" . ").split()
 
 
-class _Hashes(dict):
-    """Words of a language to their hashes; borders and the empty strings between blanks to 0 and none."""
+class _Places(dict):
+    """Words of a language to places 1, 2, ... in the order met; the border of pieces is 0."""
 
-    def __init__(self, lang: str):
+    def __init__(self):
         super().__init__({b".": 0})
-        self.prefix = lang.encode("utf-8", "surrogatepass") + b"\0"
+        self.words = [b"."]
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(self.prefix + word) - (1 << 63) or 1
-        return value
+        place = self[word] = len(self.words)
+        self.words.append(word)
+        return place
+
+
+class _Dictionary:
+    """The words of a language in a share: their hashes and counts."""
+
+    def __init__(self, lang: str):
+        self.prefix = lang.encode("utf-8", "surrogatepass") + b"\0"
+        self.place = _Places()
+        self.hash, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        """The words' hashes; counts them."""
+        known = len(self.place)
+        places = np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
+        if len(self.place) > known:
+            new = self.place.words[known:]
+            fresh = np.fromiter((xxhash.xxh3_64_intdigest(self.prefix + w) - (1 << 63) or 1 for w in new), np.int64, len(new))
+            if len(self.place) > len(self.hash):
+                self.hash, self.count = (np.concatenate([x, np.zeros(len(self.place) + len(x), np.int64)]) for x in (self.hash, self.count))
+            self.hash[known : len(self.place)] = fresh
+        met, n = np.unique(places, return_counts=True)
+        self.count[met] += n
+        return self.hash[places]
+
+    def rows(self, size: int = 20_000) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        words = self.place.words
+        for i in range(1, len(words), size):
+            part = slice(i, min(len(words), i + size))
+            yield [w.decode("utf-8", "surrogatepass") for w in words[part]], self.hash[part], self.count[part]
 
 
 # --- the encoded corpus --------------------------------------------------------
@@ -81,10 +113,9 @@ ENCODED = "ws array<bigint>, lang string, words array<string>, keys array<bigint
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, _Hashes] = {}
-    counted: dict[str, Counter] = {}
+    known: dict[str, _Dictionary] = {}
     parts: list[np.ndarray] = []
-    held = seen = 0
+    held = 0
 
     def batch(rows):
         names = [f.split()[0] for f in ENCODED.split(", ")]
@@ -92,30 +123,24 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     def dictionary():
-        for lang, counter in counted.items():
-            items = list(counter.items())
-            hashes = known[lang]
-            for i in range(0, len(items), 20_000):
-                part = items[i : i + 20_000]
-                yield batch([(None, lang, [w.decode("utf-8", "surrogatepass") for w, _ in part], [hashes[w] for w, _ in part], [n for _, n in part])])
+        for lang, words in known.items():
+            for part in words.rows():
+                yield batch([(None, lang, *part)])
 
     for rows in batches:
         for lang, text in zip(rows.column(0).to_pylist(), _strings(rows.column(1))):
             lang = "und" if lang is None else lang
             if lang not in known:
-                known[lang], counted[lang] = _Hashes(lang), Counter()
-            words = [w for w in tokens(text) if w]
-            parts += [np.fromiter(map(known[lang].__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
+                known[lang] = _Dictionary(lang)
+            words = tokens(text)
+            parts += [known[lang].encode(words), np.zeros(1, np.int64)]
             held += len(words) + 1
-            seen += len(words)
-            counted[lang].update(words)
-            del counted[lang][b"."]
             if held >= ROW_WORDS:
                 yield batch([(np.concatenate(parts), None, None, None, None)])
                 parts, held = [], 0
-            if seen >= CHUNK:
+            if sum(len(words.place) for words in known.values()) > HELD_WORDS:
                 yield from dictionary()
-                known, counted, seen = {}, {}, 0
+                known = {}
     if parts:
         yield batch([(np.concatenate(parts), None, None, None, None)])
     yield from dictionary()
@@ -201,11 +226,12 @@ def sketches(corpus: DataFrame, least: int) -> dict[int, np.ndarray]:
     """{m: bitmap of SKETCH bits}: a phrase of m words whose bit is not set is found fewer than ``least`` times."""
 
     def count(batches):
-        total = {m: np.zeros(SKETCH, np.int64) for m in range(2, LONGEST + 1)}
+        total = {m: np.zeros(SKETCH, np.uint32) for m in range(2, LONGEST + 1)}
         for ws in _shares(batches):
             for m, (g, ok) in enumerate(grams(ws), 1):
                 if m > 1:
-                    total[m] += np.bincount(_spot(g[ok], SKETCH), minlength=SKETCH)
+                    at, n = np.unique(_spot(g[ok], SKETCH), return_counts=True)
+                    total[m][at] += n.astype(np.uint32)
         for m, counts in total.items():
             pages = np.minimum(counts, least).astype("<u4").reshape(-1, SKETCH_PAGE)
             for p in np.flatnonzero(pages.any(axis=1)):
