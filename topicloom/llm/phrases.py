@@ -49,9 +49,9 @@ BITS = 1 << 23  # 1 MB a bitmap
 PAGE = 1 << 15
 SKETCH = 1 << 22
 SKETCH_PAGE = 1 << 16
-ROW_WORDS, CHUNK = 16_384, 400_000  # words of an encoded row, and of a share that is counted at once
+ROW_WORDS, CHUNK = 1_024, 200_000  # words of an encoded row, and of a share that is counted at once
 
-HELD_WORDS = 250_000  # distinct words of a share
+HELD_WORDS = 120_000  # distinct words of a share
 
 _BORDERS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_BORDERS, b"." * len(_BORDERS))
@@ -176,18 +176,16 @@ def grams(ws: np.ndarray, longest: int = LONGEST) -> list[tuple[np.ndarray, np.n
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The encoded words of a task in shares of CHUNK or more."""
-    parts, held = [], 0
+    """The encoded words of a task in shares of CHUNK or a little more, cut between rows."""
     for batch in batches:
         column = batch.column(0)
-        for i in range(len(column)):
-            parts.append(column[i].values.to_numpy(zero_copy_only=False))
-            held += len(parts[-1])
-            if held >= CHUNK:
-                yield np.concatenate(parts)
-                parts, held = [], 0
-    if parts:
-        yield np.concatenate(parts)
+        ends = np.asarray(column.offsets)
+        first = 0
+        while first < len(column):
+            last = int(np.searchsorted(ends, ends[first] + CHUNK))
+            last = min(max(last, first + 1), len(column))
+            yield column.slice(first, last - first).flatten().to_numpy(zero_copy_only=False)
+            first = last
 
 
 def _spot(g: np.ndarray, size: int) -> np.ndarray:
@@ -225,15 +223,17 @@ def bitmap(phrases: DataFrame) -> np.ndarray:
 def sketches(corpus: DataFrame, least: int) -> dict[int, np.ndarray]:
     """{m: bitmap of SKETCH bits}: a phrase of m words whose bit is not set is found fewer than ``least`` times."""
 
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<i8") if least <= np.iinfo(k).max)  # counters stop at ``least``
+
     def count(batches):
-        total = {m: np.zeros(SKETCH, np.uint32) for m in range(2, LONGEST + 1)}
+        total = {m: np.zeros(SKETCH, kind) for m in range(2, LONGEST + 1)}
         for ws in _shares(batches):
             for m, (g, ok) in enumerate(grams(ws), 1):
                 if m > 1:
                     at, n = np.unique(_spot(g[ok], SKETCH), return_counts=True)
-                    total[m][at] += n.astype(np.uint32)
+                    total[m][at] = np.minimum(total[m][at] + n, least).astype(kind)
         for m, counts in total.items():
-            pages = np.minimum(counts, least).astype("<u4").reshape(-1, SKETCH_PAGE)
+            pages = counts.reshape(-1, SKETCH_PAGE)
             for p in np.flatnonzero(pages.any(axis=1)):
                 yield pa.RecordBatch.from_pydict({"m": pa.array([m], pa.int32()), "page": pa.array([p], pa.int32()), "counts": [zlib.compress(pages[p].tobytes(), 1)]})
 
@@ -250,7 +250,7 @@ def sketches(corpus: DataFrame, least: int) -> dict[int, np.ndarray]:
                     if at:
                         yield row()
                     at, total = here, np.zeros(SKETCH_PAGE, np.int64)
-                total = np.minimum(total + np.frombuffer(zlib.decompress(counts.as_py()), "<u4"), least)
+                total = np.minimum(total + np.frombuffer(zlib.decompress(counts.as_py()), kind), least)
         if at:
             yield row()
 
