@@ -143,6 +143,9 @@ INJECTIONS = (
     (r"""@DependsOn\s*\(\s*["']([^"']+)["']\)""", "@DependsOn"),
 )
 SPRING_CONFIGS = ("application.properties", "application.yml", "application.yaml")
+YAML_CONFIGS = ("application.yml", "application.yaml")
+#: last keys of the settings that a needle asks for, where they are nested
+NESTED_KEYS = {"spring.cloud.stream.bindings.": ("destination", "topic"), ".url": ("url",)}
 
 # File selection.
 SOURCE_SUFFIXES = (

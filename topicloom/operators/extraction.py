@@ -7,12 +7,14 @@ rows; the text itself is never shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import catalogue as cat
-from topicloom.functions import text
+from topicloom.functions import text, yaml
 from topicloom.functions.text import positions_sql, quoted
 from topicloom.operators import files as file_ops
 
@@ -321,10 +323,24 @@ def declared_topics(files: DataFrame) -> DataFrame:
 # --- configuration files next to sources -----------------------------------
 
 
+def yaml_settings(files: DataFrame, wanted: str | None = None) -> DataFrame:
+    """(path, name, value) of every setting in YAML configuration, keys dotted; of those
+    whose name matches ``wanted``, if given."""
+    kept = files.where(text.base_name(F.col("path")).isin(*cat.YAML_CONFIGS))
+    return kept.select("path", F.inline(yaml.settings(F.col("content"), wanted)))
+
+
 def config_pairs(files: DataFrame, regex: str, needle: str) -> DataFrame:
-    """(dir, path, name, value) from application configuration files."""
-    path = F.col("path")
-    return files.where(text.base_name(path).isin(*cat.SPRING_CONFIGS)).select(
+    """(dir, path, name, value) from application configuration files: dotted lines as they
+    stand, and in YAML nested keys that end like ``needle`` where their word occurs."""
+    path, content = F.col("path"), F.col("content")
+    words = cat.NESTED_KEYS[needle]
+    nested = text.base_name(path).isin(*cat.YAML_CONFIGS) & reduce(or_, [F.contains(content, F.lit(w)) for w in words])
+    dotted = F.when(nested, yaml.as_properties(content, rf"(?:^|\.)(?:{'|'.join(words)})$"))
+    configs = files.where(text.base_name(path).isin(*cat.SPRING_CONFIGS)).withColumn(
+        "content", F.explode(F.array_compact(F.array(content, dotted)))
+    )
+    return configs.select(
         text.parent_dir(path).alias("dir"),
         "path",
         F.expr(f"inline({_pairs(regex, [needle])})"),

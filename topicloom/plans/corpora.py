@@ -214,6 +214,45 @@ def config_files(customer: DataFrame) -> DataFrame:
     )
 
 
+YAML_CONFIG = (
+    "# settings of <k>\n"
+    "spring:\n"
+    "  application: {name: svc-<k>}\n"
+    "  cloud:\n"
+    "    stream:\n"
+    "      bindings:\n"
+    "        input-<k>:\n"
+    "          group: g<n>   # first\n"
+    "          destination: 'bill-<n>'\n"
+    "        \"output-<k>\":\n"
+    "            topic: ship-<n> # to all\n"
+    "        other: &shared\n"
+    "          destination: \"misc-<n>\"\n"
+    "  profiles:\n"
+    "  - one\n"
+    "  - name: two\n"
+    "    url.text: |\n"
+    "      destination: not-<n>\n"
+    "      url: not-<n>\n"
+    "---\n"
+    "clients:\n"
+    "  nation-<n>:\n"
+    "    url: http://nation-<n>:8080/api\n"
+    "    retries: 3\n"
+    "  svc-<k>:\n"
+    "    url: http://self:8080\n"
+)
+
+
+def yaml_files(customer: DataFrame) -> DataFrame:
+    """Nested configuration per customer, once next to its sources and once in resources."""
+    values = {"k": "c_custkey", "n": "c_nationkey"}
+    names = {JAVA_DIR: "application.yml", "src/main/resources": "application.yaml"}
+    content = fill(YAML_CONFIG, **values).alias("content")
+    made = [F.struct(fill(f"svc-<k>/{d}/{name}", **values).alias("path"), content) for d, name in names.items()]
+    return customer.select(F.inline(F.array(*made)))
+
+
 API = (
     "package shop;\n\n@RestController\npublic class Api {\n"
     "    @Autowired\n    private Nation<n>ClientApi client;\n"

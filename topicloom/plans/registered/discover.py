@@ -233,6 +233,20 @@ def rel_spring_cloud(spark, sf):
     return _flat(r.spring_cloud(_build_corpus(spark, sf), shared.found_services(spark, sf)), "url")
 
 
+@query("r2_rel_rest_client_yaml", REST)
+def rel_rest_client_yaml(spark, sf):
+    configs = corpora.yaml_files(table(spark, sf, "customer"))
+    dirs = spring_dirs(corpora.order_files(table(spark, sf, "orders")))
+    return _flat(r.rest_clients(configs, dirs, shared.found_services(spark, sf)), "url")
+
+
+@query("r3_rel_spring_cloud_yaml", CLOUD)
+def rel_spring_cloud_yaml(spark, sf):
+    customer = table(spark, sf, "customer")
+    files = corpora.build_files(customer).union(corpora.yaml_files(customer))
+    return _flat(r.spring_cloud(files, shared.found_services(spark, sf)), "url")
+
+
 @query("r4_rel_npm", NPM)
 def rel_npm(spark, sf):
     files = _build_corpus(spark, sf)

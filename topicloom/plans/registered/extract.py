@@ -355,6 +355,40 @@ def stream_bindings(spark, sf):
     return x.stream_bindings(files)
 
 
+@query(
+    "x13_stream_bindings_yaml",
+    """WITH c AS (SELECT DISTINCT c_custkey, c_nationkey FROM customer JOIN orders ON c_custkey = o_custkey),
+       f AS (SELECT 'svc-' || c_custkey || '/src/main/java/shop/application.yml' AS path, * FROM c)
+       SELECT path, 'output-' || c_custkey AS binding, 'ship-' || c_nationkey AS topic, 'producer' AS role FROM f
+       UNION ALL SELECT path, 'input-' || c_custkey, 'bill-' || c_nationkey, 'consumer' FROM f
+       UNION ALL SELECT path, 'other', 'misc-' || c_nationkey, NULL FROM f""",
+)
+def stream_bindings_yaml(spark, sf):
+    files = corpora.order_files(table(spark, sf, "orders")).union(corpora.yaml_files(table(spark, sf, "customer")))
+    return x.stream_bindings(files)
+
+
+@query(
+    "x13_yaml_settings",
+    """WITH f AS (
+         SELECT 'svc-' || c_custkey || '/' || d AS path, c_custkey AS k, c_nationkey AS n FROM customer,
+           (VALUES ('src/main/java/shop/application.yml'), ('src/main/resources/application.yaml')) v(d)),
+       b AS (SELECT *, 'spring.cloud.stream.bindings.' AS p FROM f)
+       SELECT path, 'spring.application' AS name, '{name: svc-' || k || '}' AS value FROM f
+       UNION ALL SELECT path, p || 'input-' || k || '.group', 'g' || n FROM b
+       UNION ALL SELECT path, p || 'input-' || k || '.destination', 'bill-' || n FROM b
+       UNION ALL SELECT path, p || 'output-' || k || '.topic', 'ship-' || n FROM b
+       UNION ALL SELECT path, p || 'other.destination', 'misc-' || n FROM b
+       UNION ALL SELECT path, 'spring.profiles[0]', 'one' FROM f
+       UNION ALL SELECT path, 'spring.profiles[1].name', 'two' FROM f
+       UNION ALL SELECT path, 'clients.nation-' || n || '.url', 'http://nation-' || n || ':8080/api' FROM f
+       UNION ALL SELECT path, 'clients.nation-' || n || '.retries', '3' FROM f
+       UNION ALL SELECT path, 'clients.svc-' || k || '.url', 'http://self:8080' FROM f""",
+)
+def yaml_settings(spark, sf):
+    return x.yaml_settings(corpora.yaml_files(table(spark, sf, "customer")))
+
+
 @query(
     "x14_rest_endpoints",
     """WITH f AS (SELECT 'svc-' || s_suppkey || '/src/main/java/shop/Api.java' AS path, * FROM supplier)
