@@ -16,7 +16,7 @@ from topicloom.plans.registered.base import (
 )
 from topicloom.session import materialize, scratch_path
 from topicloom.sources import documents
-from topicloom.streaming import incremental
+from topicloom.streaming import incremental, store
 
 
 # --- merging and totals ----------------------------------------------------
@@ -459,3 +459,46 @@ def incremental_extract(spark, sf):
     return facts.select(
         F.substring_index("path", "/", 1).alias("service"), "topic", "role"
     ).distinct()
+
+
+BATCHES = """SELECT 'svc-' || l_suppkey AS service, 'order-' || l_orderkey AS topic, 'producer' AS role, l_orderkey, l_linenumber
+             FROM lineitem WHERE l_linenumber <> 2
+             UNION ALL SELECT 'svc-' || l_suppkey, 'urgent-' || l_orderkey, 'producer', l_orderkey, l_linenumber FROM lineitem
+             WHERE l_quantity >= 48 AND l_linenumber > 2"""
+
+
+def _three_batches(spark, sf):
+    """All files arrive; then those of first lines again, no longer urgent; then those of second lines go.
+    Yields after each batch what has arrived as a stream of texts."""
+    lines = table(spark, sf, "lineitem")
+    folder = scratch_path(spark, "arriving")
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in lines.schema)}, removed boolean"
+    batches = (
+        lines.withColumn("removed", F.lit(False)),
+        lines.where("l_linenumber = 1").withColumn("l_quantity", F.lit(0.0)).withColumn("removed", F.lit(False)),
+        lines.where("l_linenumber = 2").withColumn("removed", F.lit(True)),
+    )
+    for rows in batches:
+        rows.write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(schema).parquet(folder)
+        gone = corpora.line_files(arriving.where("removed")).withColumn("content", F.lit(None).cast("string"))
+        yield corpora.line_files(arriving.where("NOT removed")).unionByName(gone)
+
+
+@query("i1_bucketed_store", f"SELECT DISTINCT service, topic, role FROM ({BATCHES})")
+def bucketed_store(spark, sf):
+    facts, progress = scratch_path(spark, "store"), scratch_path(spark, "progress")
+    kept = store.FactStore(spark, facts, buckets=16)
+    for texts in _three_batches(spark, sf):
+        store.start_store(texts, kept, progress, locate=False).awaitTermination()
+    return kept.facts().select(F.substring_index("path", "/", 1).alias("service"), "topic", "role").distinct()
+
+
+@query("i1_running_totals", f"SELECT topic, role, count(*) AS files FROM ({BATCHES}) GROUP BY topic, role")
+def running_totals(spark, sf):
+    facts, progress, totals, seen = (scratch_path(spark, x) for x in ("store", "progress", "totals", "seen"))
+    kept = store.FactStore(spark, facts, buckets=16)
+    for texts in _three_batches(spark, sf):
+        store.start_store(texts, kept, progress, locate=False).awaitTermination()
+        store.start_totals(spark, kept, totals, seen).awaitTermination()
+    return store.current_totals(spark, totals)
