@@ -1,4 +1,8 @@
+import math
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from topicloom.llm import quality as q
 
@@ -60,10 +64,75 @@ def test_classifier_finds_junk(spark):
     assert np.allclose(again.weights, scorer.weights)
 
 
+def plain_em(counts, rounds=300):
+    """Expectation maximisation vote by vote."""
+    posterior = {p: 0.15 if "0" in p else 0.95 for p in counts}
+    n = len(next(iter(counts)))
+    for _ in range(rounds):
+        good = (sum(posterior[p] * c for p, c in counts.items()) + 1) / (sum(counts.values()) + 2)
+        chance = {}
+        for is_good in (True, False):
+            for k in range(n):
+                held = [0.5 + sum(c * (posterior[p] if is_good else 1 - posterior[p]) for p, c in counts.items() if p[k] == v) for v in "012"]
+                chance[is_good, k] = [h / sum(held) for h in held]
+        before = posterior
+        posterior = {}
+        for p in counts:
+            odds = math.log(good / (1 - good))
+            odds += sum(math.log(chance[True, k][int(v)] / chance[False, k][int(v)]) for k, v in enumerate(p) if v != "1")
+            posterior[p] = 1 / (1 + math.exp(-max(-40, min(40, odds))))
+        if max(abs(posterior[p] - before[p]) for p in counts) < 1e-9:
+            break
+    return posterior
+
+
+def plain_scorer(samples):
+    """AdaGrad on dictionaries, sample by sample, in the order of the same generator."""
+    weights, seen = {}, {}
+    order = np.random.default_rng(7)
+    for _ in range(q.EPOCHS):
+        for k in order.permutation(len(samples)):
+            x, y, w = samples[k]
+            z = sum(weights.get(s, 0.0) * v for s, v in x.items())
+            slope = w * (1 / (1 + math.exp(-max(-30, min(30, z)))) - y)
+            for s, v in x.items():
+                g = slope * v + q.DECAY * weights.get(s, 0.0)
+                seen[s] = seen.get(s, 1e-6) + g * g
+                weights[s] = weights.get(s, 0.0) - q.RATE * g / math.sqrt(seen[s])
+    return weights
+
+
+def test_equal_to_a_plain_version(spark):
+    """Votes, posteriors, weights and scores of the query's path, worked out plainly."""
+    rows = corpus()[0][:150] + [(500, None), (501, ""), (None, "a lone text without an id"), (3, corpus()[0][3][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pattern = {t: "".join("012"[f(q.Text(t)) + 1] for f in q.LABELLERS) for _, t in rows}
+    counts = Counter(pattern[t] for _, t in rows)
+    posterior = plain_em(counts)
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").distinct().collect()
+    texts, slices = [], Counter()
+    for h, t in sorted((r["h"], r["text"]) for r in hashed):  # the sample: the first of each slice of a pattern
+        slices[pattern[t], h % q.SLICES] += 1
+        texts += [(h, t)] if slices[pattern[t], h % q.SLICES] <= q.PER_SLICE else []
+    total = Counter(pattern[t] for _, t in texts)
+    weight = {p: math.sqrt(counts[p]) / total[p] for p in total}
+    top = max(weight.values())
+    weights = plain_scorer([(q.features(q.Text(t)), posterior[pattern[t]], weight[pattern[t]] / top) for _, t in texts])
+    scorer, found, _, cast = q.fit(docs)
+    assert set(found) == set(posterior) and all(abs(found[p] - posterior[p]) < 1e-6 for p in found)
+    assert all(abs(scorer.weights[s] - w) < 1e-5 for s, w in weights.items())
+    want = sorted(
+        (-1 if i is None else i, pattern[t], round(1 / (1 + math.exp(-sum(weights[s] * v for s, v in q.features(q.Text(t)).items()))), 3)) for i, t in rows
+    )
+    for out in (q.judge(docs, scorer, found, cast), q.classify(docs, scorer, found)):
+        assert sorted((-1 if r["id"] is None else r["id"], r["pattern"], round(r["score"], 3)) for r in out.collect()) == want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
-    scorer, posterior, _, _ = q.fit(docs)
+    scorer, posterior, _, cast = q.fit(docs)
     assert q.classify(docs, scorer, posterior).count() == 0
+    assert q.judge(docs, scorer, posterior, cast).count() == 0
 
 
 def test_variety_looks_at_the_whole_text():

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -112,13 +113,13 @@ def _slot(word: bytes) -> int:
     return zlib.crc32(word) % (SLOTS - 64) + 64
 
 
-def features(text: Text) -> dict[int, float]:
-    """Hashed features: shapes of the text in the first 64 slots, words in the others."""
+def shapes(text: Text) -> list[int]:
+    """Which of the first 64 slots a text has: steps of its measures."""
     n = text["n_words"]
-    out: dict[int, float] = {0: 1.0}
+    out = [0]
 
     def step(first: int, value: float, edges: tuple[float, ...]) -> None:
-        out[first + sum(value > e for e in edges)] = 1.0
+        out.append(first + sum(value > e for e in edges))
 
     step(1, n, (5, 20, 100, 500, 2500))
     step(8, _share(text, "n_symbols"), (0.01, 0.05, 0.3, 1))
@@ -130,33 +131,43 @@ def features(text: Text) -> dict[int, float]:
     step(46, sum(map(text.text.count, ".!?")) / max(1, n), (0.005, 0.03, 0.1, 0.3))
     step(52, sum(map(text.text.count, SYMBOLS[:3])) / max(1, n), (0.01, 0.1))
     step(56, sum(map(str.isupper, text.text)) / max(1, text["word_chars"]), (0.05, 0.2, 0.5))
+    return out
+
+
+def word_features(text: Text) -> dict[int, float]:
+    """The words' slots and their counts, as a vector of length one."""
     held: dict[int, int] = {}
-    for word in text.words:
+    for word, n in Counter(text.words).items():
         s = _slot(word)
-        held[s] = held.get(s, 0) + 1
-    if held:
-        length = float(np.sqrt(sum(c * c for c in held.values())))
-        for s, c in held.items():
-            out[s] = c / length
-    return out
+        held[s] = held.get(s, 0) + n
+    length = float(np.sqrt(sum(c * c for c in held.values())))
+    return {s: c / length for s, c in held.items()}
+
+
+def features(text: Text) -> dict[int, float]:
+    """Hashed features: shapes of the text in the first 64 slots, words in the others."""
+    return dict.fromkeys(shapes(text), 1.0) | word_features(text)
 
 
 def votes(docs: DataFrame, id_col: str, text_col: str, labellers=LABELLERS) -> DataFrame:
-    """(id, h, pattern): a digit per labeller: 0 bad, 1 nothing, 2 good."""
+    """(id, h, pattern, shape): a digit per labeller: 0 bad, 1 nothing, 2 good; and the text's shapes."""
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                patterns = []
+                patterns, shape = [], []
                 for raw in part.column(2).to_pylist():
                     text = Text(raw)
                     patterns.append("".join("012"[f(text) + 1] for f in labellers))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(patterns, pa.string())], names=["id", "h", "pattern"])
+                    shape.append(bytes(shapes(text)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(patterns, pa.string()), pa.array(shape, pa.binary())], names=["id", "h", "pattern", "shape"]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, h bigint, pattern string")
+    return rows.mapInArrow(run, f"id {kind}, h bigint, pattern string, shape binary")
 
 
 def estimate(counts: dict[str, int], rounds: int = 300) -> tuple[np.ndarray, float, dict[str, float]]:
@@ -209,20 +220,27 @@ class Scorer:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
-    def __call__(self, text: Text) -> float:
-        held = features(text)
-        total = float(self.weights[list(held)] @ np.array(list(held.values())))
+    def words(self, text: Text) -> float:
+        """What the words add to the score's logit."""
+        held = word_features(text)
+        return float(self.weights[list(held)] @ np.array(list(held.values()))) if held else 0.0
+
+    def judged(self, words: float, shape: list[int] | bytes) -> float:
+        total = words + float(self.weights[list(shape)].sum())
         return 1 / (1 + float(np.exp(-min(30.0, max(-30.0, total)))))
 
+    def __call__(self, text: Text) -> float:
+        return self.judged(self.words(text), shapes(text))
+
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labellers=LABELLERS):
-    """(scorer, {pattern: posterior}, accuracies, (id, h, pattern) of all documents)."""
+    """(scorer, {pattern: posterior}, accuracies, (id, h, pattern, shape) of all documents, stored)."""
     cast = materialize(votes(docs, id_col, text_col, labellers), "votes")
     counts = {r["pattern"]: r["count"] for r in cast.groupBy("pattern").count().collect()}  # 3 ** labellers rows at most
     accuracy, _, posterior = estimate(counts)
     # the smallest hashes in each of some slices of a pattern, so that no pattern meets in one task
     order = Window.partitionBy("pattern", "slice").orderBy("h", "id")
-    few = cast.distinct().withColumn("slice", F.pmod(F.col("h"), F.lit(SLICES))).withColumn("k", F.row_number().over(order))
+    few = cast.select("id", "h", "pattern").distinct().withColumn("slice", F.pmod(F.col("h"), F.lit(SLICES))).withColumn("k", F.row_number().over(order))
     few = few.where(F.col("k") <= PER_SLICE)
     few = few.orderBy("k", "h").limit(SAMPLE).select("h", "pattern").distinct()
     picked = F.broadcast(materialize(few, "picked"))  # SAMPLE rows at most
@@ -276,8 +294,38 @@ def classify(docs: DataFrame, scorer: Scorer, posterior: dict[str, float], id_co
     )
 
 
+def judge(docs: DataFrame, scorer: Scorer, posterior: dict[str, float], cast: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``classify`` for the documents that ``fit`` has read: their votes and shapes are in ``cast``, so a
+    text is read once more for its words only, and meets the rest of it in narrow rows."""
+
+    def read(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                words = [scorer.words(Text(t)) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.float64())], names=["id", "h", "words"])
+
+    def run(batches):
+        for batch in batches:
+            words, patterns, shape = (batch.column(c).to_pylist() for c in ("words", "pattern", "shape"))
+            scores = [scorer.judged(w, x) for w, x in zip(words, shape)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("pattern"), pa.array([posterior.get(p) for p in patterns], pa.float64()),
+                 pa.array(scores, pa.float64()), pa.array([s >= KEEP for s in scores], pa.bool_())],
+                names=["id", "pattern", "weak_label", "score", "kept"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(read, f"id {kind}, h bigint, words double")
+    known = cast.select("h", "pattern", "shape").dropDuplicates(["h"])  # equal h: equal id and text
+    return rows.join(known, "h").select("id", "words", "pattern", "shape").mapInArrow(
+        run, f"id {kind}, pattern string, weak_label double, score double, kept boolean"
+    )
+
+
 @query("op9_quality_classifier")
 def quality_classifier(spark, sf):
     docs = table(spark, sf, "documents")
-    scorer, posterior, _, _ = fit(docs)
-    return classify(docs, scorer, posterior).withColumnRenamed("id", "doc_id")
+    scorer, posterior, _, cast = fit(docs)
+    return judge(docs, scorer, posterior, cast).withColumnRenamed("id", "doc_id")
