@@ -49,7 +49,7 @@ BITS = 1 << 23  # 1 MB a bitmap
 PAGE = 1 << 15
 SKETCH = 1 << 22
 SKETCH_PAGE = 1 << 16
-ROW_WORDS, CHUNK = 1_024, 200_000  # words of an encoded row, and of a share that is counted at once
+OUT_WORDS, CHUNK = 64_000, 200_000  # words that are encoded, and that are counted, at once
 
 HELD_WORDS = 120_000  # distinct words of a share
 
@@ -100,49 +100,58 @@ class _Dictionary:
         self.count[met] += n
         return self.hash[places]
 
-    def rows(self, size: int = 20_000) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    def entries(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         words = self.place.words
-        for i in range(1, len(words), size):
-            part = slice(i, min(len(words), i + size))
-            yield [w.decode("utf-8", "surrogatepass") for w in words[part]], self.hash[part], self.count[part]
+        part = slice(1, len(words))
+        return [w.decode("utf-8", "surrogatepass") for w in words[part]], self.hash[part], self.count[part]
 
 
 # --- the encoded corpus --------------------------------------------------------
 
-ENCODED = "ws array<bigint>, lang string, words array<string>, keys array<bigint>, counts array<bigint>"
+ENCODED = "ws array<bigint>, lang string, word string, key bigint, n bigint"
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of hashes per text, closed by a border, and a row per word of every share.
+
+    Rows are no longer than their text: readers hold thousands of rows at once.
+    """
+    names = [f.split()[0] for f in ENCODED.split(", ")]
     known: dict[str, _Dictionary] = {}
     parts: list[np.ndarray] = []
-    held = 0
 
-    def batch(rows):
-        names = [f.split()[0] for f in ENCODED.split(", ")]
-        kinds = [pa.list_(pa.int64()), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+    def texts():
+        ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        ws = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+        none = [pa.nulls(len(parts), t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([ws, *none], names=names)
 
     def dictionary():
-        for lang, words in known.items():
-            for part in words.rows():
-                yield batch([(None, lang, *part)])
+        for lang, held in known.items():
+            words, keys, counts = held.entries()
+            for i in range(0, len(words), 10_000):
+                part = slice(i, i + 10_000)
+                word = pa.array(words[part], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(word), pa.list_(pa.int64())), pa.array([lang] * len(word), pa.string()), word, pa.array(keys[part]), pa.array(counts[part])], names=names
+                )
 
+    held = 0
     for rows in batches:
         for lang, text in zip(rows.column(0).to_pylist(), _strings(rows.column(1))):
             lang = "und" if lang is None else lang
             if lang not in known:
                 known[lang] = _Dictionary(lang)
-            words = tokens(text)
-            parts += [known[lang].encode(words), np.zeros(1, np.int64)]
-            held += len(words) + 1
-            if held >= ROW_WORDS:
-                yield batch([(np.concatenate(parts), None, None, None, None)])
+            parts.append(np.append(known[lang].encode(tokens(text)), 0))
+            held += len(parts[-1])
+            if held >= OUT_WORDS:
+                yield texts()
                 parts, held = [], 0
             if sum(len(words.place) for words in known.values()) > HELD_WORDS:
                 yield from dictionary()
                 known = {}
     if parts:
-        yield batch([(np.concatenate(parts), None, None, None, None)])
+        yield texts()
     yield from dictionary()
 
 
@@ -368,9 +377,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, lang_col: str = "lang", text_col: str = "text", first_cap: int = FIRST_CAP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` surviving candidates."""
     source = encoded(docs, lang_col, text_col)
-    words = source.where("words IS NOT NULL").select("lang", F.inline(F.arrays_zip("words", "keys", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(
-        F.min("keys").alias("w"), F.sum("counts").alias("f")
-    )
+    words = source.where("word IS NOT NULL").groupBy("lang", "word").agg(F.min("key").alias("w"), F.sum("n").alias("f"))
     words = materialize(words, "words")
     corpus = source.where("ws IS NOT NULL").select("ws")
     totals = materialize(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
