@@ -103,3 +103,34 @@ def test_long_conversation_and_odd_rows(spark, monkeypatch):
     assert "< |im_end" in next(r.rendered for r in got if r.id is None)
     empty = chat.turn_transcripts(frame.limit(0))
     assert chat.parse_transcripts(empty.select("id", "part", "text"), chat.fit(empty)).count() == 0
+
+
+def test_every_cut_gives_the_whole(spark):
+    """Transcripts cut at every line, at random and with empty parts, against the same in one part."""
+    rng = random.Random(4)
+    starts = ["User: ", "Assistant: ", "", "", "### Response:", "Q: "]
+    rows, whole = [], {}
+    for i in range(40):
+        lines = [rng.choice(["", "", " "]) if rng.random() < 0.3 else rng.choice(starts) + rng.choice(["hi", "fine, you?", "ok " * 40]) for _ in range(rng.randint(1, 9))]
+        if i == 0:
+            lines = ["", "hello there", "second line"]
+        if i == 1:
+            lines = ["User: hi", "", "fine, you?"]
+        whole[i] = "\n".join(lines)
+        rows.append((i * 1000, 0, whole[i]))
+        cuts = [{k} for k in range(1, len(lines))] + [set(rng.sample(range(1, len(lines)), rng.randint(0, len(lines) - 1))) for _ in range(3)]
+        for c, cut in enumerate(cuts, 1):
+            at = [0, *sorted(cut), len(lines)]
+            rows += [(i * 1000 + c, p, "\n".join(lines[a:b])) for p, (a, b) in enumerate(zip(at, at[1:]))]
+    parts = spark.createDataFrame(rows, "id bigint, part bigint, text string")
+    flat = np.random.default_rng(1).random(chat.STATES * (chat.STATES + 1 + chat.SYMBOLS)) * 5
+    a, b = chat.STATES, chat.STATES * (chat.STATES + 1)
+    model = chat.Model(flat[:a], flat[a:b].reshape(chat.STATES, -1), flat[b:].reshape(chat.STATES, -1))
+    out: dict[int, list] = {}
+    for r in chat.parse_transcripts(parts, model).collect():
+        out.setdefault(r["id"], []).append((r["part"], r["rendered"], list(r["roles"])))
+    text = {i: "".join(x[1] for x in sorted(held)) for i, held in out.items()}
+    roles = {i: [y for x in sorted(held) for y in x[2]] for i, held in out.items()}
+    assert len(out) == len({r[0] for r in rows})
+    for i in out:
+        assert text[i] == text[i // 1000 * 1000] and roles[i] == roles[i // 1000 * 1000], (i, whole[i // 1000])

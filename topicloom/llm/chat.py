@@ -10,7 +10,8 @@ A transcript may come in ordered parts. A part alone gives the best score betwee
 pair of states at its ends, a small matrix; matrices of up to 256 parts make one of the next
 level, up to the whole transcript. From the top the states at the cuts are settled level
 by level, then each part finds its own lines: the same path as of one pass over the whole,
-without any task that holds a long transcript.
+without any task that holds a long transcript. The whole are the parts joined by line feeds; a part
+is told whether a line came before it, and whether the last one before it was blank.
 
 Defined results: null and empty texts have no lines, no turns and render to nothing;
 rows without an id are a transcript like others; parts that repeat a number are taken in
@@ -47,9 +48,10 @@ SYMBOLS = (len(ROLES) + 1) * 16
 FAN_BITS = 8  # 256 parts make one of the next level
 
 
-def read_lines(text: str | None, opening: bool) -> tuple[list[str], list[int]]:
-    """(lines that are not blank, their symbols); ``opening``: the first line begins the transcript."""
-    lines, symbols, blank, first = [], [], False, opening
+def read_lines(text: str | None, opening: bool, blank: bool = False) -> tuple[list[str], list[int]]:
+    """(lines that are not blank, their symbols); ``opening``: the first line begins the transcript;
+    ``blank``: a blank line came just before the text."""
+    lines, symbols, first = [], [], opening
     for line in (text or "").split("\n"):
         if not line.strip():
             blank = True
@@ -174,6 +176,29 @@ def _matrices(column) -> np.ndarray:
     return np.array(column.to_pylist(), float).reshape(-1, STATES, STATES)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """(key, n, opening, closing, blank) of numbered parts: whether no line came before, whether no part
+    comes behind, whether the part before ends in a blank line."""
+
+    def look(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                piece = batch.slice(start, 256)
+                lines = [[bool(x.strip()) for x in (t or "").split("\n")] for t in piece.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), piece.column(1), pa.array(map(any, lines), pa.bool_()), pa.array([not x[-1] for x in lines], pa.bool_())],
+                    names=["key", "n", "spoken", "ends_blank"],
+                )
+
+    seen = materialize(rows.select("key", "n", "text").mapInArrow(look, "key string, n bigint, spoken boolean, ends_blank boolean"), "seen")
+    edges = seen.groupBy("key").agg(F.max("n").alias("final"), F.min(F.when(F.col("spoken"), F.col("n"))).alias("line"))
+    before = seen.select("key", (F.col("n") + 1).alias("n"), F.col("ends_blank").alias("blank"))
+    return seen.join(edges, "key").join(before, ["key", "n"], "left").select(
+        "key", "n", (F.col("line").isNull() | (F.col("n") <= F.col("line"))).alias("opening"), (F.col("n") == F.col("final")).alias("closing"),
+        F.coalesce("blank", F.lit(False)).alias("blank"),
+    )
+
+
 def parse_transcripts(parts: DataFrame, model: Model) -> DataFrame:
     """(id, part, n_lines, n_turns, roles, rendered) of ``parts`` (id, part, text).
 
@@ -183,17 +208,15 @@ def parse_transcripts(parts: DataFrame, model: Model) -> DataFrame:
     kind = parts.schema["id"].dataType.simpleString()
     # numbers in the order of the parts, without gathering a transcript anywhere
     rows = dense_index(_ordered(parts), ["key", "part", "h"], "n")
-    edges = rows.groupBy("key").agg(F.min("n").alias("first"), F.max("n").alias("final"))
-    rows = materialize(
-        rows.join(edges, "key").select("id", "key", "part", "n", "text", (F.col("n") == F.col("first")).alias("opening"), (F.col("n") == F.col("final")).alias("closing")),
-        "numbered",
-    )
+    rows = rows.join(_placed(rows), ["key", "n"]).select("id", "key", "part", "n", "text", "opening", "closing", "blank")
+    rows = materialize(rows, "numbered")
 
     def score(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 piece = batch.slice(start, 256)
-                found = [model.part_matrix(read_lines(t, o)[1], o).ravel() for t, o in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
+                asked = zip(*(piece.column(i).to_pylist() for i in (2, 3, 4)))
+                found = [model.part_matrix(read_lines(t, o, b)[1], o).ravel() for t, o, b in asked]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array([x.tolist() for x in found], pa.list_(pa.float64()))], names=["key", "node", "m"]
                 )
@@ -211,7 +234,7 @@ def parse_transcripts(parts: DataFrame, model: Model) -> DataFrame:
         return pa.table({"key": rows.column("key"), "node": node[order], "before": np.array([before, *ends[:-1]], np.int32), "last": np.array(ends, np.int32)})
 
     matrix = "key string, node bigint, m array<double>"
-    levels = [materialize(rows.select("key", "n", "text", "opening").mapInArrow(score, matrix), "matrices")]
+    levels = [materialize(rows.select("key", "n", "text", "opening", "blank").mapInArrow(score, matrix), "matrices")]
     while True:
         many = levels[-1].groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
         if many.isEmpty():
@@ -232,19 +255,19 @@ def parse_transcripts(parts: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 piece = batch.slice(start, 256)
-                out = [render_part(model, r) for r in piece.select(["text", "opening", "closing", "before", "last"]).to_pylist()]
+                out = [render_part(model, r) for r in piece.select(["text", "opening", "closing", "blank", "before", "last"]).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array([x[0] for x in out], pa.int32()), pa.array([len(x[1]) for x in out], pa.int32()),
                      pa.array([x[1] for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.string())],
                     names=["id", "part", "n_lines", "n_turns", "roles", "rendered"],
                 )
 
-    placed = rows.join(ends.withColumnRenamed("node", "n"), ["key", "n"]).select("id", "part", "text", "opening", "closing", "before", "last")
+    placed = rows.join(ends.withColumnRenamed("node", "n"), ["key", "n"]).select("id", "part", "text", "opening", "closing", "blank", "before", "last")
     return placed.mapInArrow(render, f"id {kind}, part bigint, n_lines int, n_turns int, roles array<string>, rendered string")
 
 
 def render_part(model: Model, row: dict) -> tuple[int, list[str], str]:
-    lines, symbols = read_lines(row["text"], row["opening"])
+    lines, symbols = read_lines(row["text"], row["opening"], row["blank"])
     states = model.path(symbols, row["opening"], row["before"], row["last"])
     roles, out = [], []
     for k, (line, state) in enumerate(zip(lines, states)):
