@@ -13,7 +13,7 @@ from topicloom.functions import catalogue as cat
 from topicloom.functions import text
 from topicloom.functions.avro import normalize_field_type, normalize_java_type
 from topicloom.operators.services import assign_files
-from topicloom.operators.skew import salted_join
+from topicloom.operators.skew import salted_join, shuffled
 
 RECORD = "type string, name string, namespace string, fields array<struct<name: string, type: string>>"
 FIELDS = "array<struct<name: string, type: string>>"
@@ -181,7 +181,7 @@ def registry_schemas(refs: DataFrame, snapshot: DataFrame) -> DataFrame:
     numbered = snapshot.select(
         "subject", F.col("version").cast("string").alias("version"), F.col("schema").alias("json")
     )
-    found = refs.join(numbered.union(latest), ["subject", "version"])
+    found = refs.join(shuffled(numbered.union(latest)), ["subject", "version"])
     return parse_records(found, "json", ["path"])
 
 
