@@ -26,3 +26,24 @@ def test_registry_schemas_are_joined_by_shuffle(spark):
     found = schemas.registry_schemas(refs, snapshot)
     assert "Broadcast" not in plan(found)
     assert {tuple(r) for r in found.select("path", "schema").collect()} == {("a/R.java", "N2"), ("b/R.java", "N1")}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_repeated_lookup_is_joined_by_shuffle(spark, how):
+    rows = spark.range(20).select((F.col("id") % 4).alias("k"), "id")
+    lookup = spark.range(2).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    joined = salted_join(rows, lookup, ["k"], how)
+    assert "Broadcast" not in plan(joined)
+    want = {"inner": 10, "left": 20, "left_semi": 10, "left_anti": 10}
+    assert joined.count() == want[how]
+
+
+def test_services_are_never_broadcast(spark, parties):
+    paths = spark.createDataFrame([("svc-1/a.java",), ("svc-9/a.java",)], "path string")
+    owned = services.assign_files(paths, parties)
+    assert "Broadcast" not in plan(owned)
+    assert [r["service"] for r in owned.collect()] == ["svc-1"]
+    links = spark.createDataFrame([("svc-0", "svc-1"), ("svc-0", "other")], "source string, target string")
+    stubs = relations.stub_services(links, parties)
+    assert "Broadcast" not in plan(stubs)
+    assert [r["service"] for r in stubs.collect()] == ["other"]
