@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.session import materialize
+from topicloom.session import discard, materialize
 
 ROW_BITS = 33
 
@@ -13,11 +13,13 @@ ROW_BITS = 33
 def dense_index(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     """Number rows 0, 1, 2, ... in the given order.
 
-    Range-partition, sort each part, write; then each part starts where the ones
-    before it end. The starts are one row per part, from one running sum over the
+    Write, range-partition, sort each part, write; then each part starts where the ones
+    before it end. The bounds of the ranges come from a sample, which is a pass of its own over
+    the rows: they are written first so that their plan runs once. The starts are one row per part, from one running sum over the
     parts, so their join is broadcast with a bound that does not depend on the data.
     """
-    sorted_parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialize(rows, "unranked")
+    sorted_parts = stored.repartitionByRange(*order).sortWithinPartitions(*order)
     seq = F.monotonically_increasing_id()
     placed = materialize(
         sorted_parts.withColumn("_seq", seq)
@@ -25,6 +27,7 @@ def dense_index(rows: DataFrame, order: list[str], name: str = "id") -> DataFram
         .withColumn("_row", F.col("_seq").bitwiseAND((1 << ROW_BITS) - 1)),
         "ranked",
     )
+    discard(stored)
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
