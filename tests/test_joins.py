@@ -21,8 +21,8 @@ def parties(spark):
 
 def test_registry_schemas_are_joined_by_shuffle(spark):
     refs = spark.createDataFrame([("a/R.java", "u", "s", "latest"), ("b/R.java", "u", "s", "1")], "path string, url string, subject string, version string")
-    doc = '{"type": "record", "name": "N%d", "fields": []}'
-    snapshot = spark.createDataFrame([("s", 1, doc % 1), ("s", 2, doc % 2)], "subject string, version int, schema string")
+    doc = F.concat(F.lit('{"type": "record", "name": "N'), "id", F.lit('", "fields": []}'))
+    snapshot = spark.range(1, 3).select(F.lit("s").alias("subject"), F.col("id").alias("version"), doc.alias("schema"))
     found = schemas.registry_schemas(refs, snapshot)
     assert "Broadcast" not in plan(found)
     assert {tuple(r) for r in found.select("path", "schema").collect()} == {("a/R.java", "N2"), ("b/R.java", "N1")}
