@@ -47,6 +47,12 @@ def test_avsc(files):
     assert {(r.schema, r.namespace) for r in found.collect()} == {("Reading", "weather.stations"), ("Empty", "")}
 
 
+def test_a_document_is_parsed_once(files):
+    """Its record is not parsed again for the filter on its type (one parser of records in the plan)."""
+    plan = c.avro_schemas(files(("wx/Reading.avsc", json.dumps(READING))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(") == 1
+
+
 def _nested(depth):
     kind = "string"
     for _ in range(depth):
@@ -73,6 +79,15 @@ def test_field_types(spark, kind, want):
     assert df.select(normalize_field_type(F.col("v")).alias("r")).first().r == want
 
 
+@pytest.mark.parametrize(
+    "raw, want",
+    [("array", "array"), ('["null",{"type":"array","items":"int"}]', '{"type":"array","items":"int"}'), (None, None), ("", "")],
+)
+def test_types_that_are_taken_as_they_stand(spark, raw, want):
+    df = spark.createDataFrame([(raw,)], "v string")
+    assert df.select(normalize_field_type(F.col("v")).alias("r")).first().r == want
+
+
 @pytest.mark.parametrize(
     "kind, want",
     [
@@ -171,6 +186,21 @@ def test_merge_and_search(spark, rows):
     assert rows(c.search_schemas(merged, "REG"), "schema") == {("B",)}
 
 
+def test_search_reads_its_input_once(spark, rows):
+    """The schemas are worked out once, for the uses; hits and answer read these."""
+    owned = _owned(spark, ("s", "A", "n", "1"), ("s", "A", "n", "2"), ("t", "A", "m", "1"), ("t", "B", "m", "1"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = c.search_schemas(owned.mapInArrow(count, owned.schema), "n")
+    assert rows(found, "schema", "namespace", "service") == {("A", "n", "s"), ("A", "m", "t")}
+    assert seen.value == 4
+
+
 def test_diff(spark, rows):
     def fields(*entries):
         return spark.createDataFrame([("S", *e) for e in entries], "schema string, field string, field_type string")
