@@ -141,3 +141,31 @@ def test_variety_looks_at_the_whole_text():
     assert q.by_variety(q.Text(" ".join(poor[:400] + [f"v{i % 900}" for i in range(4000)]))) == q.GOOD
     assert q.by_variety(q.Text(" ".join(varied + ["x"] * 19))) == q.GOOD  # no short window at the end
     assert q.by_variety(q.Text(" ".join(varied[:19]))) == q.NONE and q.by_variety(q.Text("a b " * 100)) == q.BAD
+
+
+def test_measures_are_worked_out_once(monkeypatch):
+    """Equal to looking at every character and word, but a word is matched once however often it comes."""
+    texts = ["", "abc DEF", "Straße ÄÖÜ αβΓ ǅ ª Ⅷ ⓐ ǅx", "aİi " * 9, "ok, " * 500, "x" * 90 + " Word. a1 don't"]
+    for raw in texts:
+        text = q.Text(raw)
+        assert q.cases(text) == (sum(map(str.isupper, raw)), sum(map(str.islower, raw)))
+        share = sum(q.PLAIN.fullmatch(w) is not None for w in raw.split()) / max(1, len(raw.split()))
+        assert q.by_plain_words(q.Text(raw)) == (q.BAD if share < 0.55 else q.GOOD if share > 0.8 else q.NONE)
+        held = Counter()
+        for word, n in Counter(text.words).items():
+            held[q._slot(word)] += n
+        length = math.sqrt(sum(c * c for c in held.values()))
+        assert q.word_features(text) == {s: c / length for s, c in held.items()}
+
+    class Counted:
+        calls = 0
+
+        def fullmatch(self, word):
+            self.calls += 1
+            return None
+
+    counted = Counted()
+    monkeypatch.setattr(q, "PLAIN", counted)
+    assert q.by_plain_words(q.Text("seldom-heard-word " * 1000)) == q.BAD
+    q._known_plain.cache_clear()
+    assert counted.calls == 1

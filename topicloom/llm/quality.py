@@ -16,7 +16,9 @@ looked at. Reruns agree.
 
 from __future__ import annotations
 
+import operator
 import re
+import string
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -40,19 +42,47 @@ ROWS = 128
 SPAN = 400  # words of a window of by_variety
 
 
+#: bytes of letters that ``str.isupper`` and ``str.islower`` know in ASCII
+UPPER, LOWER = string.ascii_uppercase.encode(), string.ascii_lowercase.encode()
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+MOST_WORDS, LONGEST = 200_000, 40  # words a worker remembers, and the longest of a text that it looks up
+
+
+def cases(text: Text) -> tuple[int, int]:
+    """How many characters are upper case and how many lower case, worked out once a text."""
+    found = text._known.get("cases")
+    if found is None:
+        raw = text.text
+        data = raw.encode("utf-8", "surrogatepass")
+        rest = "" if len(data) == len(raw) else "".join(BEYOND_ASCII.findall(raw))
+        upper, lower = (len(data) - len(data.translate(None, letters)) for letters in (UPPER, LOWER))
+        found = text._known["cases"] = upper + sum(map(str.isupper, rest)), lower + sum(map(str.islower, rest))
+    return found
+
+
 def _share(text: Text, measure: str) -> float:
     return text[measure] / max(1, text["n_words"])
 
 
 def _words_seen_often(text: Text) -> float:
-    """Share of words equal to the word before."""
-    words = text.words
-    return sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))
+    """Share of words equal to the word before, worked out once a text."""
+    found = text._known.get("seen_often")
+    if found is None:
+        words = text.words
+        found = text._known["seen_often"] = sum(map(operator.eq, words, words[1:])) / max(1, len(words))
+    return found
 
 
 PLAIN = re.compile(r"[\"'(]?[^\W\d_]+(?:['-][^\W\d_]+)*[.,;:!?]?[\"')]?")
 
 
+def _is_plain(word: str) -> bool:
+    return PLAIN.fullmatch(word) is not None
+
+
+_known_plain = lru_cache(maxsize=MOST_WORDS)(_is_plain)
+
+
 def by_length(text: Text) -> int:
     return BAD if text["n_words"] < 3 else NONE
 
@@ -64,7 +94,8 @@ def by_symbols(text: Text) -> int:
 def by_plain_words(text: Text) -> int:
     """Words of letters with at most one mark behind them."""
     words = text.text.split()
-    share = sum(PLAIN.fullmatch(w) is not None for w in words) / max(1, len(words))
+    plain = _known_plain if max(map(len, words), default=0) <= LONGEST else _is_plain
+    share = sum(map(plain, words)) / max(1, len(words))
     return BAD if share < 0.55 else GOOD if share > 0.8 else NONE
 
 
@@ -99,7 +130,7 @@ def by_sentences(text: Text) -> int:
 
 
 def by_case(text: Text) -> int:
-    upper, lower = sum(map(str.isupper, text.text)), sum(map(str.islower, text.text))
+    upper, lower = cases(text)
     if upper + lower < 20:
         return NONE
     return BAD if upper > lower else NONE
@@ -130,16 +161,13 @@ def shapes(text: Text) -> list[int]:
     step(39, text["word_chars"] / max(1, n), (2, 4, 6, 9, 15))
     step(46, sum(map(text.text.count, ".!?")) / max(1, n), (0.005, 0.03, 0.1, 0.3))
     step(52, sum(map(text.text.count, SYMBOLS[:3])) / max(1, n), (0.01, 0.1))
-    step(56, sum(map(str.isupper, text.text)) / max(1, text["word_chars"]), (0.05, 0.2, 0.5))
+    step(56, cases(text)[0] / max(1, text["word_chars"]), (0.05, 0.2, 0.5))
     return out
 
 
 def word_features(text: Text) -> dict[int, float]:
     """The words' slots and their counts, as a vector of length one."""
-    held: dict[int, int] = {}
-    for word, n in Counter(text.words).items():
-        s = _slot(word)
-        held[s] = held.get(s, 0) + n
+    held = Counter(map(_slot, text.words))
     length = float(np.sqrt(sum(c * c for c in held.values())))
     return {s: c / length for s, c in held.items()}
 
