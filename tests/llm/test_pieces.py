@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from topicloom.llm import pieces
 
@@ -66,3 +67,14 @@ def test_documents(spark, tool):
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
     empty = spark.createDataFrame([], docs.schema)
     assert pieces.encode_documents(empty).count() == 0
+
+
+def test_ids_of_units_come_as_arrays_not_as_an_object_a_piece(tool):
+    text = "the é中☃ two words\n" + "ab" * 40 + "  x " + "☃" * 70 + "中" * 64
+    for part in (text, "the", "\n", "☃"):
+        units = pieces.UNITS.findall(pieces.BLANK + part.replace(" ", pieces.BLANK))
+        sizes, ids = tool.encode_units(units)
+        assert isinstance(sizes, np.ndarray) and isinstance(ids, np.ndarray)
+        assert len(sizes) == len(units) and ids.tolist() == tool.processor.encode(part)
+        ends = np.cumsum(sizes).tolist()
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [tool.encode_units([u])[1].tolist() for u in units]

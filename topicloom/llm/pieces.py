@@ -132,17 +132,17 @@ class Units:
     def has_room(self, units: list[str]) -> bool:
         return len(self.place) + len(units) <= MOST_UNITS and self.chars + sum(map(len, units)) <= MOST_CHARS
 
-    def add(self, units: list[str], ids: list[list[int]]) -> None:
-        first, sizes = len(self.place), np.fromiter(map(len, ids), np.int64, len(ids))
+    def add(self, units: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """``ids`` holds those of the units one behind the other, ``sizes`` of each."""
+        first, total = len(self.place), len(ids)
         self.place.update(zip(units, range(first, first + len(units))))
         self.chars += sum(map(len, units))
-        total = int(sizes.sum())
         self.begin = _grown(self.begin, first + len(units))
         self.size = _grown(self.size, first + len(units))
         self.ids = _grown(self.ids, self.filled + total)
         self.size[first : first + len(units)] = sizes
         self.begin[first : first + len(units)] = self.filled + np.cumsum(sizes) - sizes
-        self.ids[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.ids[self.filled : self.filled + total] = ids
         self.filled += total
 
 
@@ -194,6 +194,8 @@ class Codec:
         inside = re.escape("".join(sorted(self.alphabet)))
         self.parts = re.compile(f"([{inside}]+)|([^{inside}]+)")
         self.length = {i: len(s) for i, s in self.piece.items()}
+        self.lengths = np.zeros(n, np.int64)
+        self.lengths[list(self.length)] = list(self.length.values())
         self.edges: dict[int, tuple] = {}
         self.pairs: dict[int, bool] = {}
         self.known = Table(MOST_PAIRS)
@@ -333,50 +335,75 @@ class Codec:
             found[new] = values[np.searchsorted(fresh, keys[new])]
         return found > 0
 
-    def _encode_runs(self, runs: list[str]) -> list[list[int]]:
-        """Ids of non-empty runs of characters of the alphabet."""
+    def _encode_run(self, run: str) -> list[int]:
+        """Ids of a run of characters of the alphabet."""
         sep, length = self.separator, self.length
+        if len(run) < LONG_RUN:
+            return self._encode_runs([run])[1].tolist()
+        last = self._table(sep + run + sep)
+        at, ids = len(run), []
+        while last[at] != START:
+            piece = last[at]
+            ids.append(piece)
+            at -= length[piece]
+        ids.reverse()
+        return ids
+
+    def _encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each run has, all ids one behind the other) of short runs of characters of the alphabet."""
+        sep = self.separator
         text = sep + sep.join(runs) + sep
         sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        if len(runs) == 1 and len(text) > LONG_RUN:
-            last = self._table(text)
-        else:
-            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            begin = np.cumsum(sizes + 1) - sizes
-            firsts = np.repeat(begin, sizes + 1)
-            last = self._tables(self.classes[codes], np.concatenate([[0], firsts])).tolist()
-        out, end = [], 0
-        for size in sizes.tolist():
-            end += size + 1
-            at, ids = end - 1, []
-            while last[at] != START:
-                piece = last[at]
-                ids.append(piece)
-                at -= length[piece]
-            ids.reverse()
-            out.append(ids)
-        return out
-
-    def encode_units(self, units: list[str]) -> list[list[int]]:
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(sizes + 1)
+        firsts = np.repeat(ends - 1 - sizes, sizes + 1)
+        last = self._tables(self.classes[codes], np.concatenate([[0], firsts]))
+        # all runs are read backwards together, a piece a round
+        at, run, met = ends - 1, np.arange(len(runs)), []
+        while len(run):
+            piece = last[at]
+            go = piece != START
+            run, piece = run[go], piece[go]
+            at = at[go] - self.lengths[piece]
+            met.append((run, piece))
+        counts = np.zeros(len(runs), np.int64)
+        for run, _ in met:
+            counts[run] += 1
+        ids = np.empty(counts.sum(), np.int32)
+        place = np.cumsum(counts) - 1
+        for run, piece in met:
+            ids[place[run]] = piece
+            place[run] -= 1
+        return counts, ids
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each unit has, all ids one behind the other)."""
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         strange = np.concatenate([[0], np.cumsum(self.classes[codes] == 0)])
-        edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))])
-        odd = (strange[edge[1:]] > strange[edge[:-1]]).tolist()
-        short, plan = [], []
-        for unit, has_unknown in zip(units, odd):
-            if not has_unknown and len(unit) < LONG_RUN:
-                short.append(unit)
-                plan.append(None)
-                continue
+        chars = np.fromiter(map(len, units), np.int64, len(units))
+        edge = np.concatenate([[0], np.cumsum(chars)])
+        plain = (strange[edge[1:]] == strange[edge[:-1]]) & (chars < LONG_RUN)
+        short = np.flatnonzero(plain)
+        sizes, flat = self._encode_runs([units[i] for i in short.tolist()]) if len(short) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        if len(short) == len(units):
+            return sizes, flat
+        rest = np.flatnonzero(~plain)
+        single = []
+        for i in rest.tolist():
             ids: list[int] = []
-            for known, unknown in self.parts.findall(unit):
+            for known, unknown in self.parts.findall(units[i]):
                 if known:
-                    ids += self._encode_runs([known])[0]
+                    ids += self._encode_run(known)
                 else:
                     ids += [self.byte_ids[b] for b in unknown.encode()]
-            plan.append(ids)
-        done = iter(self._encode_runs(short) if short else ())
-        return [next(done) if ids is None else ids for ids in plan]
+            single.append(ids)
+        counts = np.zeros(len(units), np.int64)
+        counts[short], counts[rest] = sizes, list(map(len, single))
+        out = np.empty(counts.sum(), np.int32)
+        of_short = np.repeat(plain, counts)
+        out[of_short] = flat
+        out[~of_short] = np.fromiter(chain.from_iterable(single), np.int32, len(out) - len(flat))
+        return counts, out
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts."""
@@ -387,7 +414,7 @@ class Codec:
             if not store.has_room(missing):
                 store.clear()
                 missing = list(set().union(*split))
-            store.add(missing, self.encode_units(missing))
+            store.add(missing, *self.encode_units(missing))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         place = np.fromiter(map(store.place.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
         begin, size = store.begin[place], store.size[place]
