@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators import relations, schemas, services
 from topicloom.operators.skew import salted_join
+from topicloom.plans.registered import QUERIES
 
 
 def plan(df):
@@ -47,3 +48,13 @@ def test_services_are_never_broadcast(spark, parties):
     stubs = relations.stub_services(links, parties)
     assert "Broadcast" not in plan(stubs)
     assert [r["service"] for r in stubs.collect()] == ["other"]
+
+
+def test_newest_versions_are_never_broadcast(spark, tmp_path):
+    rows = [(1, 30), (2, 10), (None, 5)]
+    spark.createDataFrame(rows, "p_partkey int, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = QUERIES["c6_schema_diff"](spark, str(tmp_path))
+    assert "Broadcast" not in plan(found)
+    assert sorted((r["schema"], r["field"], r["change"]) for r in found.collect()) == [
+        ("Reg1", "color", "added"), ("Reg1", "note", "removed"), ("Reg1", "size", "retyped"), ("Reg2", "color", "added"), ("Reg2", "size", "retyped")
+    ]

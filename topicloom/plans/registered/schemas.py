@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicloom.operators import schemas as c
+from topicloom.operators.skew import shuffled
 from topicloom.plans import corpora
 from topicloom.plans.corpora import table
 from topicloom.plans.registered import shared
@@ -109,7 +110,7 @@ def schema_diff(spark, sf):
     part = table(spark, sf, "part")
     snapshot = corpora.registry_snapshot(part)
     latest = snapshot.groupBy("subject").agg(F.max("version").alias("newest"))
-    dated = snapshot.join(latest, "subject").withColumn("is_new", F.col("version") == F.col("newest"))
+    dated = snapshot.join(shuffled(latest), "subject").withColumn("is_new", F.col("version") == F.col("newest"))
     fields = c.schema_fields(c.parse_records(dated, "schema", ["is_new"]))
     return c.schema_diff(fields.where(~F.col("is_new")), fields.where("is_new"))
 
