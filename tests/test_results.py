@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import catalogue as cat
 from topicloom.operators import numbering, skew, topics, views
 from topicloom.plans import analyze
+from topicloom.plans.registered import QUERIES
 from topicloom.sources import corpus as corpora
 from topicloom.sources import documents
 from topicloom.streaming import incremental
@@ -284,3 +285,21 @@ def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert materialize(spark.range(3)).count() == 3
     assert os.listdir(os.path.join(shared_folder(spark), "topicloom"))
+
+
+def test_written_documents_are_parsed_once(spark, tmp_path):
+    def save(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    save("customer", [(1, 7, "AUTOMOBILE"), (2, 7, "BUILDING")], "c_custkey int, c_nationkey int, c_mktsegment string")
+    save("orders", [(5, 2, "F", "1-URGENT")], "o_orderkey int, o_custkey int, o_orderstatus string, o_orderpriority string")
+    save(
+        "lineitem", [(5, 9, 1, 1, 10.0, "R")],
+        "l_orderkey int, l_partkey int, l_suppkey int, l_linenumber int, l_quantity double, l_returnflag string",
+    )
+    got = QUERIES["s3_write_analysis"](spark, str(tmp_path))
+    # the two tables of the result come from stored entries, not from two readings of the texts
+    assert "from_json(MapType" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {
+        ("svc-1", "java", "order-5", "svc-1", ""), ("svc-2", "java", "order-5", "", "svc-2"), ("svc-2", "java", "urgent-5", "", "svc-2"),
+    }
